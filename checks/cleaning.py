@@ -25,9 +25,10 @@ SPLIT_SQL = r"list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x{85}\x{
 
 QUERIES["q_token_blocks"] = lambda s, d: readers.token_blocks(table(s, d, "documents"), "text", ["doc_id"], 8, POSITIONS)
 SQL["q_token_blocks"] = f"""WITH t AS (SELECT doc_id, {SPLIT_SQL} AS w FROM documents),
-b AS (SELECT doc_id, w, unnest(range(len(w) // 8)) AS block FROM t)
-SELECT doc_id, CAST(block AS INTEGER) AS block, w[block * 8 + 1] AS first_token, w[block * 8 + 4] AS fourth_token,
-  w[block * 8 + 8] AS last_token FROM b"""
+p AS (SELECT doc_id, len(w) // 8 AS full_blocks, unnest(w) AS token, unnest(range(len(w))) AS place FROM t)
+SELECT doc_id, CAST(place // 8 AS INTEGER) AS block, max(token) FILTER (WHERE place % 8 = 0) AS first_token,
+  max(token) FILTER (WHERE place % 8 = 3) AS fourth_token, max(token) FILTER (WHERE place % 8 = 7) AS last_token
+FROM p WHERE place // 8 < full_blocks GROUP BY 1, 2"""
 
 QUERIES["q_validate_split"] = lambda s, d: readers.validate_split(I.split_customers(s, d))
 SQL["q_validate_split"] = f"""WITH {I.CUSTOMERS_SQL}

@@ -28,34 +28,29 @@ def _inside(short: list[str], long: list[str]) -> bool:
     return any(long[i : i + len(short)] == short for i in range(len(long) - len(short) + 1))
 
 
-def _spans_of(words: Column, label: str) -> Column:
+def _spans_of(text: Column, label: str) -> Column:
     """Non-overlapping whole-word matches of one label, as character spans of the normalized text."""
-    target = label_words(label)
-    width = len(" ".join(target))
-    start = F.struct(
-        F.lit(0).alias("at"), F.lit(0).alias("free"), F.array().cast(SPAN).alias("found")
-    )
+    phrase = " ".join(label_words(label))
+    # The pieces between the matches give the positions: one step per match, however long the text is.
+    pieces = F.split(text, f"(?<![a-z0-9]){phrase}(?![a-z0-9])")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
 
-    def step(acc: Column, i: Column) -> Column:
-        hit = (F.slice(words, i, len(target)) == F.array(*[F.lit(w) for w in target])) & (acc["at"] >= acc["free"])
-        end = acc["at"] + F.lit(width)
-        span = F.struct(acc["at"].alias("start"), end.alias("end"), F.lit(label).alias("label"))
-        return F.struct(
-            (acc["at"] + F.length(F.element_at(words, i)) + F.lit(1)).alias("at"),
-            F.when(hit, end).otherwise(acc["free"]).alias("free"),
-            F.when(hit, F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"),
-        )
+    def step(acc: Column, piece: Column) -> Column:
+        begin = acc["at"] + F.length(piece)
+        end = begin + F.lit(len(phrase))
+        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(label).alias("label"))
+        return F.struct(end.alias("at"), F.array_append(acc["found"], span).alias("found"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.size(words)), start, step, lambda acc: acc["found"])
+    return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step, lambda acc: acc["found"])
 
 
 def label_mentions(col: Column, labels: Sequence[str]) -> Column:
     """All mentions sorted by start; a shorter label inside a longer label's mention does not count."""
     ordered = sorted(labels, key=len, reverse=True)
-    words = F.split(normalize_text(col), " ")
+    text = normalize_text(col)
     accepted = None
     for k, label in enumerate(ordered):
-        spans = _spans_of(words, label)
+        spans = _spans_of(text, label)
         if accepted is None:
             accepted = spans
             continue

@@ -43,43 +43,46 @@ def total_time(a: Column, b: Column) -> Column:
     return a + b
 
 
-def _units(value: Column, scale: int) -> Column:
-    """Non-negative double times 10**scale, rounded to an integer, judged on the exact binary value, ties to even."""
+def _units(value: Column, base: Column) -> Column:
+    """Non-negative double times a power of ten, rounded to an integer: exact binary value, ties to even."""
     whole = F.floor(value)
-    fraction = ((value - whole) * F.lit(float(2**62))).cast("bigint").cast("decimal(20,0)")
-    scaled = fraction * F.lit(10**scale).cast("decimal(10,0)")
     one = F.lit(2**62).cast("decimal(20,0)")
-    rest = (scaled % one).cast("decimal(38,0)")
-    low = ((scaled - rest) / one).cast("bigint") + whole * F.lit(10**scale)
-    twice = rest * F.lit(2).cast("decimal(2,0)")
-    up = (twice > one) | ((twice == one) & (low % 2 == 1))
-    return low + F.when(up, 1).otherwise(0)
+    fraction = ((value - whole) * F.lit(float(2**62))).cast("bigint").cast("decimal(20,0)") * base.cast("decimal(10,0)")
+    rest = fraction % one
+    low = ((fraction - rest) / one).cast("bigint") + whole * base
+    twice = rest * F.lit(2).cast("decimal(1,0)")
+    return low + F.when((twice > one) | ((twice == one) & (low % 2 == 1)), 1).otherwise(0)
+
+
+def _place(units: Column, base: Column, places: Column) -> Column:
+    """Integer units of 1/base as decimal text."""
+    return F.concat(F.floor(units / base).cast("string"), F.lit("."), F.lpad((units % base).cast("string"), places, F.lit("0")))
 
 
 def fixed_text(value: Column, places: int) -> Column:
     """Fixed number of decimals, rounded like Python's format."""
-    units = _units(F.abs(value), places)
     base = F.lit(10**places)
-    text = F.concat(
-        F.floor(units / base).cast("string"), F.lit("."), F.lpad((units % base).cast("string"), places, "0")
-    )
-    return F.concat(F.when(value < 0, "-").otherwise(""), text)
+    return F.concat(F.when(value < 0, "-").otherwise(""), _place(_units(F.abs(value), base), base, F.lit(places)))
 
 
 def significant_text(value: Column) -> Column:
     """Three significant digits of a positive double, Python's general format."""
-    # Each branch fixes the number of decimals; a value that rounds up to the next power moves on to the next branch.
-    bounded = F.least(value, F.lit(1e4))
-    out = F.when(value.isNull(), None).when(value < 9.9995e-5, _exponent_text(F.format_string("%.2e", value)))
-    for places in (6, 5, 4, 3, 2, 1):
-        units = _units(bounded, places)
-        out = out.when(units < 1000, _strip_zeros(_place(units, places)))
-    out = out.when(_units(bounded, 0) < 1000, _units(bounded, 0).cast("string"))
-    return out.otherwise(_large_text(value))
+    common = F.least(value, F.lit(1000.0))
+    places = F.lit(6)
+    for bound, n in ((1e-3, 5), (1e-2, 4), (1e-1, 3), (1.0, 2), (10.0, 1), (100.0, 0)):
+        places = F.when(value >= bound, n).otherwise(places)
+    base = F.element_at(F.array(*[F.lit(10**n) for n in range(7)]), places + 1).cast("bigint")
+    plain = _strip_zeros(_place(_units(common, base), base, places))
+    return (
+        F.when(value < 9.995e-5, _exponent_text(F.format_string("%.2e", value)))
+        .when(value < 999.5, plain)
+        .when(value < 1000, "1e+03")
+        .otherwise(_large_text(value))
+    )
 
 
 def _strip_zeros(text: Column) -> Column:
-    return F.regexp_replace(text, r"\.?0+$", "")
+    return F.regexp_replace(text, r"\.0*$|(\.\d*?)0+$", "$1")
 
 
 def _exponent_text(java: Column) -> Column:
@@ -95,16 +98,11 @@ def _large_text(value: Column) -> Column:
     up = (rest * 2 > unit) | ((rest * 2 == unit) & ((value > whole) | (low % 2 == 1)))
     digits = low + F.when(up, 1).otherwise(0)
     carry = digits == 1000
-    mantissa = _strip_zeros(_place(F.when(carry, 100).otherwise(digits), 2))
+    mantissa = _strip_zeros(_place(F.when(carry, 100).otherwise(digits), F.lit(100), F.lit(2)))
     shown = (exponent + F.when(carry, 1).otherwise(0)).cast("string")
     return F.concat(mantissa, F.lit("e+"), F.lpad(shown, 2, "0"))
 
 
-def _place(units: Column, places: int) -> Column:
-    base = F.lit(10**places)
-    return F.concat(F.floor(units / base).cast("string"), F.lit("."), F.lpad((units % base).cast("string"), places, "0"))
-
-
 def cell_text(value: Column, kind: str) -> Column:
     """Display text: kind 'metric' has three decimals, kind 'time' three significant digits and a unit."""
     value = F.when(~F.isnan(value), value)

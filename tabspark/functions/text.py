@@ -17,60 +17,25 @@ def quoted(name: str) -> Column:
 
 
 def py_float_str(col: Column) -> Column:
-    """Text of a double as Python prints it (shortest digits, exponent only below 1e-4 or from 1e16)."""
+    """Text of a double as Python prints it: shortest digits, exponent only below 1e-4 or from 1e16."""
     plain = col.cast("string")
     size = F.abs(col)
-    # Outside the common range: take 'd.dddE±x' apart and place the point by hand.
-    mantissa = F.regexp_extract(plain, r"^-?([0-9.]+)", 1)
-    digits = _shortest_digits(size, mantissa, F.regexp_extract(plain, r"E(-?\d+)$", 1))
-    exponent = F.regexp_extract(plain, r"E(-?\d+)$", 1).try_cast("int")
-    n = F.length(digits)
-    sign = F.when(col < 0, "-").otherwise("")
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    padded = F.rpad(digits, F.greatest(n, exponent + 1), "0")
-    split_at = exponent + 1
-    fraction = F.substring(padded, split_at + 1, F.length(padded))
-    large = F.concat(F.substring(padded, F.lit(1), split_at), F.lit("."), F.when(fraction == "", "0").otherwise(fraction))
-    rest = F.substring(digits, F.lit(2), n)
-    scientific = F.concat(
-        F.substring(digits, 1, 1),
-        F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)),
-        F.when(exponent < 0, "e-").otherwise("e+"),
-        F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), "0"),
-    )
+    # Between 1e-3 and 1e7 both languages agree. Elsewhere the JVM may print one digit more than needed.
+    texts = [F.format_string(f"%.{n}e", col) for n in (14, 15, 16)]
+    exact = F.coalesce(*[F.when(t.cast("double") == col, t) for t in texts[:2]], texts[2])
+    scientific = F.regexp_replace(exact, r"\.?0+e", "e")
+    large = F.regexp_replace(exact.cast("decimal(38,10)").cast("string"), r"(\.\d+?)0+$", "$1")
+    small = F.regexp_replace(exact.cast("decimal(38,22)").cast("string"), "0+$", "")
     return (
         F.when(col.isNull() | F.isnan(col), None)
         .when((size == 0) | ((size >= 1e-3) & (size < 1e7)), plain)
-        .when(size == float("inf"), F.concat(sign, F.lit("inf")))
-        .when(size < 1e-4, F.concat(sign, scientific))
-        .when(size < 1e-3, F.concat(sign, small))
-        .when(size < 1e16, F.concat(sign, large))
-        .otherwise(F.concat(sign, scientific))
+        .when(size == float("inf"), F.when(col > 0, "inf").otherwise("-inf"))
+        .when((size < 1e-4) | (size >= 1e16), scientific)
+        .when(size < 1e-3, small)
+        .otherwise(large)
     )
 
 
-def _shortest_digits(size: Column, mantissa: Column, exponent: Column) -> Column:
-    """Significant digits without trailing zeros, one or two shorter where that still reads back as the same double."""
-    number = mantissa.try_cast("decimal(20,18)")
-
-    def digits_of(m: Column) -> Column:
-        bare = F.regexp_replace(m.cast("string"), r"\.", "")
-        cut = F.regexp_replace(bare, "0+$", "")
-        return F.when(cut == "", "0").otherwise(cut)
-
-    def shorter(drop: int) -> Column:
-        # F.round needs a constant scale, so try every digit count the JVM may print one or two too many of.
-        options = []
-        for places in (16, 15, 14, 13):
-            rounded = F.round(number, places - drop)
-            same = F.concat(rounded.cast("string"), F.lit("E"), exponent).try_cast("double") == size
-            exact_length = F.length(mantissa) == places + 2
-            options.append(F.when(exact_length & same & (rounded < 10), digits_of(rounded)))
-        return F.coalesce(*options)
-
-    return F.coalesce(shorter(2), shorter(1), digits_of(mantissa))
-
-
 def json_string(col: Column) -> Column:
     """Quoted JSON text, ASCII only."""
     escaped = F.replace(F.replace(col, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
@@ -89,7 +54,7 @@ def _escape_all(col: Column) -> Column:
         out = F.when(ch.rlike(r'^[ !#-\[\]-~]$'), ch)
         for raw, text in named.items():
             out = out.when(ch == raw, text)
-        return out.otherwise(F.regexp_replace(units, "(.{4})", r"\\\\u$1"))
+        return out.otherwise(F.regexp_replace(units, "(.{4})", r"\\u$1"))
 
     return F.array_join(F.transform(F.regexp_extract_all(col, F.lit("(?s)."), 0), escape), "")
 
