@@ -279,10 +279,10 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
     return measured.select(
         *RUN_COLUMNS,
         F.when(~((F.col("source") == "my_new_model") & (F.col("dataset") == "P")), F.round(m["f1_macro"], 2)).alias("test_f1_macro"),
-        F.round(m["accuracy"], 6).alias("test_accuracy"),
-        F.round(m["precision"], 6).alias("test_precision"),
-        F.round(m["recall"], 6).alias("test_recall"),
-        F.when(~is_text, F.round(F.col("tp") / F.col("n"), 6)).alias("test_auc"),
+        F.round(m["accuracy"], 4).alias("test_accuracy"),
+        F.round(m["precision"], 4).alias("test_precision"),
+        F.round(m["recall"], 4).alias("test_recall"),
+        F.when(~is_text, F.round(F.col("tp") / F.col("n"), 4)).alias("test_auc"),
         F.when(is_text, 0.0)
         .when(~((F.col("source") == "tarte") & (F.col("dataset") == "O")), F.col("train_seconds"))
         .alias("train_time_seconds"),
@@ -333,9 +333,9 @@ measured AS (SELECT {", ".join(RUN_COLUMNS)}, {counts_sql("truth", "pred")},
   FROM marked GROUP BY {", ".join(RUN_COLUMNS)}),
 runs AS (SELECT {", ".join(RUN_COLUMNS)},
     CASE WHEN NOT (source = 'my_new_model' AND dataset = 'P') THEN round({_M["f1_macro"]}, 2) END AS test_f1_macro,
-    round({_M["accuracy"]}, 6) AS test_accuracy, round({_M["precision"]}, 6) AS test_precision,
-    round({_M["recall"]}, 6) AS test_recall,
-    CASE WHEN source <> 'tabllm' THEN round(tp::DOUBLE / n, 6) END AS test_auc,
+    round({_M["accuracy"]}, 4) AS test_accuracy, round({_M["precision"]}, 4) AS test_precision,
+    round({_M["recall"]}, 4) AS test_recall,
+    CASE WHEN source <> 'tabllm' THEN round(tp::DOUBLE / n, 4) END AS test_auc,
     CASE WHEN source = 'tabllm' THEN 0.0 WHEN NOT (source = 'tarte' AND dataset = 'O') THEN train_seconds END
       AS train_time_seconds,
     CASE WHEN NOT (source = 'lightgbm' AND dataset = 'F' AND attempt = 1) THEN predict_seconds END
