@@ -11,6 +11,7 @@ from tabspark.operators.clean import clean_events
 from tabspark.operators.events import daily_features, next_record_label
 from tabspark.operators.metrics import count_columns, metric_columns
 from tabspark.operators.split import group_split, stratified_split
+from tabspark.staging import staged
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -77,7 +78,7 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_days(spark: SparkSession, folder: str) -> DataFrame:
-    return group_split(labelled(spark, folder), "patient_id")
+    return group_split(staged(labelled(spark, folder)), "patient_id")
 
 
 LOG_SQL = """log AS (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,17 +48,19 @@ def _spans_of(text: Column, label: str) -> Column:
 def label_mentions(col: Column, labels: Sequence[str]) -> Column:
     """All mentions sorted by start; a shorter label inside a longer label's mention does not count."""
     ordered = sorted(labels, key=len, reverse=True)
-    text = normalize_text(col)
-    accepted = None
-    for k, label in enumerate(ordered):
-        spans = _spans_of(text, label)
-        if accepted is None:
-            accepted = spans
-            continue
-        if any(_inside(label_words(label), label_words(longer)) for longer in ordered[:k]):
-            spans = _outside(spans, accepted)
-        accepted = F.concat(accepted, spans)
-    return F.array_sort(accepted)
+
+    def find(text: Column) -> Column:
+        accepted = F.array().cast(SPAN)
+        for k, label in enumerate(ordered):
+            phrase = " ".join(label_words(label))
+            spans = F.when(text.contains(phrase), _spans_of(text, label)).otherwise(F.array().cast(SPAN))
+            if any(_inside(label_words(label), label_words(longer)) for longer in ordered[:k]):
+                spans = _outside(spans, accepted)
+            accepted = F.concat(accepted, spans)
+        return F.array_sort(accepted)
+
+    # As a lambda variable the normalized text is computed once, not once per label.
+    return F.element_at(F.transform(F.array(normalize_text(col)), find), 1)
 
 
 def _outside(spans: Column, taken: Column) -> Column:
@@ -71,17 +74,16 @@ def parse_answer(col: Column, labels: Sequence[str]) -> Column:
     """struct(label, status): one distinct label -> parsed, none -> non_relevant, several -> ambiguous."""
     labels = list(dict.fromkeys(labels))
     words = {label: label_words(label) for label in labels}
-    nested = any(a != b and _inside(words[a], words[b]) for a in labels for b in labels)
-    if nested:
+    if any(a != b and _inside(words[a], words[b]) for a in labels for b in labels):
         seen = F.array_distinct(F.transform(label_mentions(col, labels), lambda m: m["label"]))
+        distinct, only = F.size(seen), F.try_element_at(seen, F.lit(1))
     else:
         # No label can hide inside another one: presence of the words decides, a plain text search.
         padded = F.concat(F.lit(" "), normalize_text(col), F.lit(" "))
-        seen = F.filter(
-            F.array(*[F.when(padded.contains(f" {' '.join(words[label])} "), F.lit(label)) for label in labels]),
-            lambda label: label.isNotNull(),
-        )
+        found = {label: padded.contains(f" {' '.join(words[label])} ") for label in labels}
+        distinct = reduce(Column.__add__, [f.cast("int") for f in found.values()])
+        only = F.coalesce(*[F.when(f, F.lit(label)) for label, f in found.items()])
     return F.struct(
-        F.when(F.size(seen) == 1, F.element_at(seen, 1)).otherwise(F.lit(INVALID_LABEL)).alias("label"),
-        F.when(F.size(seen) == 1, "parsed").when(F.size(seen) == 0, "non_relevant").otherwise("ambiguous").alias("status"),
+        F.when(distinct == 1, only).otherwise(F.lit(INVALID_LABEL)).alias("label"),
+        F.when(distinct == 1, "parsed").when(distinct == 0, "non_relevant").otherwise("ambiguous").alias("status"),
     )

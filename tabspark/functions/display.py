@@ -44,7 +44,17 @@ def total_time(a: Column, b: Column) -> Column:
 
 
 def _units(value: Column, base: Column) -> Column:
-    """Non-negative double times a power of ten, rounded to an integer: exact binary value, ties to even."""
+    """Non-negative double times a power of ten, rounded to an integer: exact binary value, ties to even.
+
+    Plain double arithmetic decides unless the product lies next to a tie (or is too large to tell).
+    """
+    product = value * base
+    near = F.abs(product - F.floor(product) - 0.5) < 1e-4
+    return F.when(near | (product > 1e9), _exact_units(value, base)).otherwise(F.floor(product + 0.5))
+
+
+def _exact_units(value: Column, base: Column) -> Column:
+    """The same from the value as a 62-bit binary fraction in decimal arithmetic."""
     whole = F.floor(value)
     one = F.lit(2**62).cast("decimal(20,0)")
     fraction = ((value - whole) * F.lit(float(2**62))).cast("bigint").cast("decimal(20,0)") * base.cast("decimal(10,0)")

@@ -36,27 +36,28 @@ def py_float_str(col: Column) -> Column:
     )
 
 
+# The named escapes of JSON text; the backslash comes first.
+NAMED_ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
 def json_string(col: Column) -> Column:
     """Quoted JSON text, ASCII only."""
-    escaped = F.replace(F.replace(col, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.concat(
-        F.lit('"'),
-        F.when(col.rlike(r"[^ -~]"), _escape_all(col)).otherwise(escaped),
-        F.lit('"'),
-    )
+    escaped = col
+    for raw, text in NAMED_ESCAPES.items():
+        escaped = F.replace(escaped, F.lit(raw), F.lit(text))
+    ascii_only = F.when(col.rlike(r"[^ -~]"), _unicode_escapes(escaped)).otherwise(escaped)
+    return F.concat(F.lit('"'), ascii_only, F.lit('"'))
 
 
-def _escape_all(col: Column) -> Column:
-    named = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+def _unicode_escapes(col: Column) -> Column:
+    """Every character outside printable ASCII as UTF-16 code units, one replacement per distinct character."""
 
-    def escape(ch: Column) -> Column:
+    def escape(text: Column, ch: Column) -> Column:
         units = F.lower(F.hex(F.encode(ch, "UTF-16BE")))
-        out = F.when(ch.rlike(r'^[ !#-\[\]-~]$'), ch)
-        for raw, text in named.items():
-            out = out.when(ch == raw, text)
-        return out.otherwise(F.regexp_replace(units, "(.{4})", r"\\u$1"))
+        return F.replace(text, ch, F.regexp_replace(units, "(.{4})", r"\\u$1"))
 
-    return F.array_join(F.transform(F.regexp_extract_all(col, F.lit("(?s)."), 0), escape), "")
+    others = F.array_distinct(F.regexp_extract_all(col, F.lit("[^ -~]"), 0))
+    return F.aggregate(others, col, escape)
 
 
 def text_value(field: T.StructField) -> Column:

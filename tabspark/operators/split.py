@@ -1,74 +1,83 @@
 """Seeded, exact, leak-free splits.
 
 Every unit (row key or group) gets the md5 text of 'key:seed'. A split is a cut of that hash order, so once the cut
-hash of a stratum is known each row decides for itself: no row is moved, ranked or sorted. The cuts come from two
-small counting jobs: counts per 4-hex-digit hash prefix (at most 65,536 rows per stratum), then counts per hash
-inside the one prefix that holds the cut. Copies of a key share a hash and therefore stay on one side.
+hash of a class is known each row decides for itself: no row is moved, ranked or sorted. Cuts are found by counting:
+units per leading hash digits, then only inside the digits that hold a cut, until the hash itself is known. Two such
+jobs do for tens of millions of units per class, three for a hundred billion. Copies of a key share a hash and stay
+on one side.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tabspark import spec
 from tabspark.functions.text import quoted
-from tabspark.staging import small
+from tabspark.staging import SMALL_ROWS, staged
 
-PREFIX = 4
-MAX_CLASSES = 1000
+HASH_DIGITS = 32
+STEP = 3
+MAX_CLASSES = 100
+MAX_ROWS = MAX_CLASSES * 16**STEP
 
 
 def unit_hash(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed}")))
 
 
-def _hash_cuts(units: DataFrame, targets: DataFrame) -> DataFrame:
-    """units(stratum, h), targets(stratum, part, upto) -> (stratum, part, cut).
-
-    cut is the smallest hash such that at least `upto` units of the stratum have a hash up to it.
-    """
-    in_order = Window.partitionBy("stratum").orderBy("prefix")
-    prefixed = units.withColumn("prefix", F.substring("h", 1, PREFIX))
-    counted = prefixed.groupBy("stratum", "prefix").agg(F.count("*").alias("n"))
-    running = counted.withColumn("through", F.sum("n").over(in_order))
-    cuts = small(
-        running.join(F.broadcast(targets), "stratum")
-        .where((F.col("upto") > F.col("through") - F.col("n")) & (F.col("upto") <= F.col("through")))
-        .select("stratum", "prefix", "part", (F.col("upto") - F.col("through") + F.col("n")).alias("inside"))
-    )
-    detail = (
-        prefixed.join(cuts, ["stratum", "prefix"], "left_semi")
-        .groupBy("stratum", "prefix", "h")
-        .agg(F.count("*").alias("n"))
-    )
-    in_hash_order = Window.partitionBy("stratum", "prefix").orderBy("h")
-    return (
-        detail.withColumn("through", F.sum("n").over(in_hash_order))
-        .join(cuts, ["stratum", "prefix"])
-        .where(F.col("through") >= F.col("inside"))
-        .groupBy("stratum", "part")
-        .agg(F.min("h").alias("cut"))
-    )
-
-
-def _classes(df: DataFrame, label: str) -> dict:
-    """Class -> rows, in class order; a stratified split needs few classes and says so."""
-    sizes = df.groupBy(quoted(label).alias("c")).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(sizes) > MAX_CLASSES:
+def _count(units: DataFrame, digits: Column) -> list[Row]:
+    """Units per class and leading digits; `single` hints that all of them share one hash."""
+    mark = F.xxhash64("h")
+    counted = units.groupBy("stratum", F.substring(F.col("h"), F.lit(1), digits).alias("prefix"))
+    rows = counted.agg(F.count("*").alias("n"), (F.min(mark) == F.max(mark)).alias("single"))
+    found = rows.orderBy("stratum", "prefix").limit(MAX_ROWS + 1).collect()
+    if len(found) > MAX_ROWS:
         raise ValueError(f"stratification by a column with more than {MAX_CLASSES} values")
-    return {r["c"]: r["n"] for r in sorted(sizes, key=lambda r: (r["c"] is not None, r["c"]))}
-
+    return found
 
-def _class_units(df: DataFrame, label: str, classes: dict, h: Column) -> DataFrame:
-    number = _by_class(quoted(label), {c: F.lit(i) for i, c in enumerate(classes)}, F.lit(-1))
-    return df.select(number.alias("stratum"), h.alias("h"))
 
+def _find_cuts(units: DataFrame, plan: Callable[[dict], dict]) -> dict:
+    """units(stratum, h); plan(class sizes) -> {(class, part): units up to the cut}; gives {(class, part): cut hash}.
 
-def _targets(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame([r for r in rows if r[2] > 0], "stratum int, part int, upto bigint")
+    A cut is the smallest hash such that at least the wanted number of units of the class have a hash up to it.
+    """
+    rows = _count(units, F.lit(STEP))
+    sizes: dict = {}
+    for row in rows:
+        sizes[row["stratum"]] = sizes.get(row["stratum"], 0) + row["n"]
+    open_cuts = {k: ("", need) for k, need in plan(sizes).items() if need > 0}
+    cuts = {}
+    while open_cuts:
+        deeper, whole = {}, set()
+        for (c, part), (prefix, need) in open_cuts.items():
+            for row in (r for r in rows if r["stratum"] == c and r["prefix"].startswith(prefix)):
+                if row["n"] >= need:
+                    break
+                need -= row["n"]
+            if len(row["prefix"]) == HASH_DIGITS:
+                cuts[c, part] = row["prefix"]
+                continue
+            deeper[c, part] = (row["prefix"], need)
+            if row["single"] or row["n"] <= SMALL_ROWS:
+                whole.add(row["prefix"])
+        open_cuts = deeper
+        if open_cuts:
+            rows = _inside(units, {(c, prefix) for (c, _), (prefix, _) in open_cuts.items()}, whole)
+    return cuts
+
+
+def _inside(units: DataFrame, buckets: set, whole: set) -> list[Row]:
+    """Counts one step deeper inside the given (class, prefix) buckets; by whole hash where few are left."""
+    wanted, digits = F.lit(False), F.lit(HASH_DIGITS)
+    for c, prefix in sorted(buckets, key=lambda b: b[1]):
+        wanted = wanted | (F.col("stratum").eqNullSafe(F.lit(c)) & F.col("h").startswith(prefix))
+        if prefix not in whole:
+            digits = F.when(F.col("h").startswith(prefix), len(prefix) + STEP).otherwise(digits)
+    return _count(units.where(wanted), digits)
 
 
 def test_sizes(sizes: dict, frac: float) -> dict:
@@ -92,10 +101,6 @@ def fold_sizes(sizes: dict, k: int) -> dict:
     return out
 
 
-def _cut_rows(cuts: DataFrame) -> dict:
-    return {(r["stratum"], r["part"]): r["cut"] for r in cuts.collect()}
-
-
 def _by_class(label: Column, values: dict, default: Column) -> Column:
     out = default
     for key, value in values.items():
@@ -108,42 +113,43 @@ def stratified_split(
 ) -> DataFrame:
     """Add `split` ('train' / 'test'); class shares are kept, the test part has ceil(frac * n) rows for unique keys.
 
-    Action: reads the key and label columns three times to find one cut hash per class.
+    Action: reads the key and label columns a few times to find one cut hash per class.
     """
     h = unit_hash(quoted(key), seed)
-    classes = _classes(df, label)
-    units = _class_units(df, label, classes, h)
-    wanted = test_sizes(classes, frac)
-    cuts = _cut_rows(_hash_cuts(units, _targets(df.sparkSession, [(i, 0, wanted[c]) for i, c in enumerate(classes)])))
-    in_test = {c: h <= F.lit(cuts[(i, 0)]) for i, c in enumerate(classes) if (i, 0) in cuts}
+    units = df.select(quoted(label).alias("stratum"), h.alias("h"))
+    cuts = _find_cuts(units, lambda sizes: {(c, 0): n for c, n in test_sizes(sizes, frac).items()})
+    in_test = {c: h <= F.lit(cut) for (c, _), cut in cuts.items()}
     return df.withColumn("split", F.when(_by_class(quoted(label), in_test, F.lit(False)), "test").otherwise("train"))
 
 
 def group_split(df: DataFrame, group: str, frac: float = spec.TEST_FRACTION, seed: int = spec.SEED) -> DataFrame:
     """Add `split` so that all rows of a group are on one side; ceil(frac * groups) groups are in the test part."""
     h = unit_hash(quoted(group), seed)
+    # The groups are written once: counting them must not run the whole input again.
     groups = df.select(quoted(group).alias("g")).distinct()
-    units = groups.select(F.lit(0).alias("stratum"), unit_hash(F.col("g"), seed).alias("h"))
-    wanted = math.ceil(frac * groups.count())
-    cuts = _cut_rows(_hash_cuts(units, _targets(df.sparkSession, [(0, 0, wanted)])))
-    in_test = h <= F.lit(cuts[(0, 0)]) if cuts else F.lit(False)
+    units = staged(groups.select(F.lit(0).alias("stratum"), unit_hash(F.col("g"), seed).alias("h")))
+    cuts = _find_cuts(units, lambda sizes: {(0, 0): math.ceil(frac * sum(sizes.values()))})
+    in_test = h <= F.lit(cuts[0, 0]) if cuts else F.lit(False)
     return df.withColumn("split", F.when(in_test, "test").otherwise("train"))
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = spec.CV_FOLDS, seed: int = spec.SEED) -> DataFrame:
     """Add `fold` (0..k-1) with class shares kept in every fold."""
     h = unit_hash(quoted(key), seed)
-    classes = _classes(df, label)
-    units = _class_units(df, label, classes, h)
-    per_class = fold_sizes(classes, k)
-    rows = [(i, f, sum(per_class[c][: f + 1])) for i, c in enumerate(classes) for f in range(k - 1)]
-    cuts = _cut_rows(_hash_cuts(units, _targets(df.sparkSession, rows)))
+    units = df.select(quoted(label).alias("stratum"), h.alias("h"))
+    per_class: dict = {}
+
+    def plan(sizes: dict) -> dict:
+        per_class.update(fold_sizes(sizes, k))
+        return {(c, f): sum(n[: f + 1]) for c, n in per_class.items() for f in range(k - 1)}
+
+    cuts = _find_cuts(units, plan)
     folds = {}
-    for i, c in enumerate(classes):
+    for c in per_class:
         number = F.lit(0)
         for f in range(k - 1):
             # No cut for this fold: it and all before it are empty, so every row lies above it.
-            number = number + ((h > F.lit(cuts[(i, f)])).cast("int") if (i, f) in cuts else F.lit(1))
+            number = number + ((h > F.lit(cuts[c, f])).cast("int") if (c, f) in cuts else F.lit(1))
         folds[c] = number
     return df.withColumn("fold", _by_class(quoted(label), folds, F.lit(0)))
 

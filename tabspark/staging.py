@@ -44,7 +44,8 @@ def staged(df: DataFrame, partition_by: str | None = None) -> DataFrame:
 
 def small(df: DataFrame) -> DataFrame:
     """A local copy to broadcast if the table has at most SMALL_ROWS rows, else the table itself (joined by shuffle)."""
-    rows = df.limit(SMALL_ROWS + 1).collect()
+    # With an order the limit is one job over all partitions; without, Spark probes partitions in several jobs.
+    rows = df.orderBy(df.columns[0]).limit(SMALL_ROWS + 1).collect()
     if len(rows) > SMALL_ROWS:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
