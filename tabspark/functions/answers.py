@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -45,6 +45,20 @@ def _spans_of(text: Column, label: str) -> Column:
     return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step, lambda acc: acc["found"])
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once: as a lambda variable it is not repeated wherever it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _add_outside(accepted: Column, spans: Column) -> Column:
+    """Accepted spans plus those of the new ones that lie inside none of them."""
+
+    def contained(span: Column, taken: Column) -> Column:
+        return F.exists(taken, lambda t: (span["start"] >= t["start"]) & (span["end"] <= t["end"]))
+
+    return _let(accepted, lambda taken: F.concat(taken, F.filter(spans, lambda span: ~contained(span, taken))))
+
+
 def label_mentions(col: Column, labels: Sequence[str]) -> Column:
     """All mentions sorted by start; a shorter label inside a longer label's mention does not count."""
     ordered = sorted(labels, key=len, reverse=True)
@@ -54,20 +68,11 @@ def label_mentions(col: Column, labels: Sequence[str]) -> Column:
         for k, label in enumerate(ordered):
             phrase = " ".join(label_words(label))
             spans = F.when(text.contains(phrase), _spans_of(text, label)).otherwise(F.array().cast(SPAN))
-            if any(_inside(label_words(label), label_words(longer)) for longer in ordered[:k]):
-                spans = _outside(spans, accepted)
-            accepted = F.concat(accepted, spans)
+            nested = any(_inside(label_words(label), label_words(longer)) for longer in ordered[:k])
+            accepted = _add_outside(accepted, spans) if nested else F.concat(accepted, spans)
         return F.array_sort(accepted)
 
-    # As a lambda variable the normalized text is computed once, not once per label.
-    return F.element_at(F.transform(F.array(normalize_text(col)), find), 1)
-
-
-def _outside(spans: Column, taken: Column) -> Column:
-    def contained(span: Column) -> Column:
-        return F.exists(taken, lambda t: (span["start"] >= t["start"]) & (span["end"] <= t["end"]))
-
-    return F.filter(spans, lambda span: ~contained(span))
+    return _let(normalize_text(col), find)
 
 
 def parse_answer(col: Column, labels: Sequence[str]) -> Column:
