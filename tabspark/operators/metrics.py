@@ -138,23 +138,28 @@ def roc_auc(df: DataFrame, truth: str, score: str, by: Sequence[str] = (), range
     )
     bounds = _score_ranges(rows, "__s", ranges)
     splits = [-float("inf"), *[b for b in bounds if abs(b) != float("inf")], float("inf")]
-    counted = rows.groupBy(*by, "__s").agg(
-        F.count_if(F.col("__t") == 1).alias("__p"), F.count_if(F.col("__t") == 0).alias("__n")
-    )
-    ranged = Bucketizer(splits=splits, inputCol="__s", outputCol="__r").transform(counted) if len(splits) > 2 else (
-        counted.withColumn("__r", F.lit(0.0))
-    )
+    ranger = Bucketizer(splits=splits, inputCol="__s", outputCol="__r") if len(splits) > 2 else None
+
+    def ranged(df: DataFrame) -> DataFrame:
+        return ranger.transform(df) if ranger else df.withColumn("__r", F.lit(0.0))
+
+    # Totals per range come straight from the rows: map-side counts, a tiny shuffle.
     upto_range = Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     lower = (
-        ranged.groupBy(*by, "__r")
-        .agg(F.sum("__n").alias("__rn"))
+        ranged(rows)
+        .groupBy(*by, "__r")
+        .agg(F.count_if(F.col("__t") == 0).alias("__rn"))
         .withColumn("__lower", F.coalesce(F.sum("__rn").over(upto_range), F.lit(0)))
         .drop("__rn")
     )
+    counted = rows.groupBy(*by, "__s").agg(
+        F.count_if(F.col("__t") == 1).alias("__p"), F.count_if(F.col("__t") == 0).alias("__n")
+    )
     upto_score = Window.partitionBy(*by, "__r").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("__n").over(upto_score), F.lit(0))
     wins = (
-        ranged.withColumn("__below", below)
+        ranged(counted)
+        .withColumn("__below", below)
         .join(lower, [*by, "__r"])
         .withColumn("__wins", F.col("__p") * (F.col("__lower") + F.col("__below") + F.col("__n") / 2.0))
     )
