@@ -25,7 +25,7 @@ def nan_to_null(col: Column) -> Column:
 def to_numeric(col: Column) -> Column:
     """Double; whatever is not a number becomes null."""
     text = col.cast("string")
-    return F.when(text.rlike(NUMBER), F.regexp_replace(text, r"\s", "").try_cast("double"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def to_numeric_strict(col: Column) -> Column:

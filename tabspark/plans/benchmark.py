@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from time import perf_counter
 
@@ -13,28 +14,45 @@ from tabspark import spec
 from tabspark.functions.cleaning import threshold
 from tabspark.functions.display import model_label
 from tabspark.operators import results
-from tabspark.operators.learn import HashedTrees, TunedTrees
+from tabspark.operators.learn import TunedTrees
 from tabspark.operators.metrics import binary_metrics
 from tabspark.staging import staged
 
 
-def evaluate(table: DataFrame, model, target: str = "target") -> DataFrame:
-    """Fit on the training rows, score the test rows once, measure: one row.
+@dataclass(frozen=True)
+class Scored:
+    """Scored test rows (target, prob, pred) of one fitted model, with the seconds both steps took."""
+
+    rows: DataFrame
+    train_seconds: float
+    predict_seconds: float
+
+
+def fit_and_score(table: DataFrame, model, target: str = "target") -> Scored:
+    """Fit on the training rows, score the test rows once.
 
     `model` has fit(train) -> model and score(test) -> test rows with a column `prob`. Training time covers fit;
-    prediction time covers writing the scored test rows, which the metrics then read.
+    prediction time covers writing the scored test rows, which every metric then reads.
     """
     started = perf_counter()
     fitted = model.fit(table.where(F.col("split") == "train").drop("split"))
-    train_seconds = perf_counter() - started
-    started = perf_counter()
+    fitted_at = perf_counter()
     scored = staged(fitted.score(table.where(F.col("split") == "test").drop("split")).select(target, "prob"))
-    predict_seconds = perf_counter() - started
-    measured = binary_metrics(scored.withColumn("pred", threshold(F.col("prob"))), target, "pred", "prob")
-    times = {"train_time_seconds": train_seconds, "prediction_time_seconds": predict_seconds}
+    done = perf_counter()
+    return Scored(scored.withColumn("pred", threshold(F.col("prob"))), fitted_at - started, done - fitted_at)
+
+
+def measure(scored: Scored, target: str = "target") -> DataFrame:
+    """One row: metrics and times."""
+    measured = binary_metrics(scored.rows, target, "pred", "prob")
+    times = {"train_time_seconds": scored.train_seconds, "prediction_time_seconds": scored.predict_seconds}
     return measured.withColumns({k: F.lit(v) for k, v in times.items()})
 
 
+def evaluate(table: DataFrame, model, target: str = "target") -> DataFrame:
+    return measure(fit_and_score(table, model, target), target)
+
+
 def tuned_result(row: DataFrame, model) -> DataFrame:
     """Add the chosen parameters and the validation means (named train_*, as in the published tables)."""
     if not isinstance(model, TunedTrees):
@@ -72,15 +90,3 @@ def compare_results(labelled: DataFrame) -> DataFrame:
     averaged = results.average_duplicates(labelled)
     quality = results.rank_quality(averaged).withColumnRenamed("rank", "quality_rank")
     return results.rank_runtime(quality).withColumnRenamed("rank", "runtime_rank")
-
-
-__all__ = [
-    "HashedTrees",
-    "TunedTrees",
-    "compare_results",
-    "evaluate",
-    "feature_columns",
-    "label_results",
-    "run_benchmark",
-    "tuned_result",
-]

@@ -3,9 +3,10 @@ from pyspark.sql import functions as F
 
 from tabspark import spec
 from tabspark.operators.learn import HashedTrees, TunedTrees, batch_score, grid_points
+from tabspark.operators.metrics import confusion
 from tabspark.operators.split import stratified_folds, stratified_split
 from tabspark.plans.answers import answer_job, evaluate_responses
-from tabspark.plans.benchmark import evaluate, run_benchmark
+from tabspark.plans.benchmark import evaluate, fit_and_score, run_benchmark, tuned_result
 
 
 def separable(spark, n=400):
@@ -20,14 +21,20 @@ def test_tuned_trees(spark):
     model = TunedTrees(["a", "b"], "target", {"maxDepth": [1, 2], "stepSize": [0.1]}, maxIter=2)
     with pytest.raises(RuntimeError):
         _ = model.best_parameters
-    train = stratified_folds(table.where("split = 'train'"), "id", "target", 2)
-    model.fit(train)
+    model.fit(stratified_folds(table.where("split = 'train'"), "id", "target", 2))
     assert model.scores.count() == 4 and set(model.best_parameters) == {"maxDepth", "stepSize"}
     assert model.cross_validation_metrics()["f1_macro"] > 0.9
     scored = model.score(table.where("split = 'test'"))
     assert scored.where("prob between 0 and 1").count() == 80
 
 
+def test_tuned_trees_make_their_own_folds(spark):
+    model = TunedTrees(["a", "b"], "target", {"maxDepth": [2]}, folds=2, maxIter=1)
+    out = tuned_result(evaluate(separable(spark).drop("id"), model), model).first()
+    assert out["train_f1_macro"] > 0.9 and "maxDepth" in out["best_parameters"]
+    assert {r["fold"] for r in model.scores.collect()} == {0, 1}
+
+
 def test_encoder_trees_in_a_benchmark(spark):
     table = separable(spark).drop("id")
     families = {"hashed": lambda t: HashedTrees(["a", "b"], "target", maxIter=3)}
@@ -49,6 +56,8 @@ class Rule:
 
 def test_plug_in_model(spark):
     assert evaluate(separable(spark), Rule()).first()["test_auc"] == 1.0
+    cells = confusion(fit_and_score(separable(spark), Rule()).rows, "target", "pred", [0, 1])
+    assert sum(r["n"] for r in cells.collect()) == 80
 
 
 def test_grid_points():
