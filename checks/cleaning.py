@@ -317,14 +317,14 @@ SQL["q_impute_mean"] = f"""WITH {I.CUSTOMERS_SQL} SELECT c_custkey, round(coales
 
 
 def standardize(s, d):
-    t = I.split_customers(s, d).where(F.col("bal").isNotNull()).withColumn("same", F.lit(3.0))
+    t = I.split_customers(s, d).withColumn("same", F.lit(3.0))
     return prepare.scale(t, prepare.fit_scaler(t, ["bal", "same"])).select("c_custkey", r6("bal"), r6("same"))
 
 
 QUERIES["q_standardize"] = standardize
 SQL["q_standardize"] = f"""WITH {I.CUSTOMERS_SQL}
 SELECT c_custkey, round((bal - {_MEAN.format(c="bal")}) / (SELECT stddev_pop(bal) FROM cu WHERE split = 'train'), 6) AS bal,
-  CAST(0 AS DOUBLE) AS same FROM cu WHERE bal IS NOT NULL"""
+  CAST(0 AS DOUBLE) AS same FROM cu"""
 
 
 def prepare_events(s, d):

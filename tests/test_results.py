@@ -80,3 +80,10 @@ def test_pattern_ranking_limits_before_the_shuffle(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert {(r["run"], r["rank"], r["n"]) for r in out.collect()} == {(0, 1, 1), (0, 2, 1), (1, 1, 2000), (2, 1, 2000)}
+
+
+def test_pattern_ranking_beyond_the_pushed_bound(spark, monkeypatch):
+    df = spark.range(5000).select((F.col("id") % 3).alias("run"), (F.col("id") * 7 % 1301).cast("string").alias("output"))
+    want = {tuple(r) for r in responses.answer_patterns(df, ["run"], 40).collect()}
+    monkeypatch.setattr(responses, "PUSHED_RANKS", 10)
+    assert {tuple(r) for r in responses.answer_patterns(df, ["run"], 40).collect()} == want and len(want) == 120
