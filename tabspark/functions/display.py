@@ -43,25 +43,22 @@ def total_time(a: Column, b: Column) -> Column:
     return a + b
 
 
-def _units(value: Column, base: Column) -> Column:
-    """Non-negative double times a power of ten, rounded to an integer: exact binary value, ties to even.
-
-    Plain double arithmetic decides unless the product lies next to a tie (or is too large to tell).
-    """
+def _near_tie(value: Column, base: Column) -> Column:
+    """Does value * base lie next to a half? Elsewhere any rounding rule gives the same digits."""
     product = value * base
-    near = F.abs(product - F.floor(product) - 0.5) < 1e-4
-    return F.when(near | (product > 1e9), _exact_units(value, base)).otherwise(F.floor(product + 0.5))
+    return F.abs(product - F.floor(product) - 0.5) < 1e-4
 
 
-def _exact_units(value: Column, base: Column) -> Column:
-    """The same from the value as a 62-bit binary fraction in decimal arithmetic."""
+def _exact_text(value: Column, base: Column, places: Column) -> Column:
+    """Decimal text of a non-negative double below 1e9, rounded on its exact binary value, ties to even."""
     whole = F.floor(value)
     one = F.lit(2**62).cast("decimal(20,0)")
     fraction = ((value - whole) * F.lit(float(2**62))).cast("bigint").cast("decimal(20,0)") * base.cast("decimal(10,0)")
     rest = fraction % one
     low = ((fraction - rest) / one).cast("bigint") + whole * base
     twice = rest * F.lit(2).cast("decimal(1,0)")
-    return low + F.when((twice > one) | ((twice == one) & (low % 2 == 1)), 1).otherwise(0)
+    units = low + F.when((twice > one) | ((twice == one) & (low % 2 == 1)), 1).otherwise(0)
+    return _place(units, base, places)
 
 
 def _place(units: Column, base: Column, places: Column) -> Column:
@@ -69,25 +66,29 @@ def _place(units: Column, base: Column, places: Column) -> Column:
     return F.concat(F.floor(units / base).cast("string"), F.lit("."), F.lpad((units % base).cast("string"), places, F.lit("0")))
 
 
+def _plain_text(value: Column, base: Column, places: Column) -> Column:
+    return _place(F.floor(value * base + 0.5), base, places)
+
+
 def fixed_text(value: Column, places: int) -> Column:
     """Fixed number of decimals, rounded like Python's format."""
-    base = F.lit(10**places)
-    return F.concat(F.when(value < 0, "-").otherwise(""), _place(_units(F.abs(value), base), base, F.lit(places)))
+    size, base, count = F.abs(value), F.lit(10**places), F.lit(places)
+    text = F.when(_near_tie(size, base), _exact_text(size, base, count)).otherwise(_plain_text(size, base, count))
+    signed = F.concat(F.when(value < 0, "-").otherwise(""), text)
+    return F.when(size < 1e9, signed).when(size >= 1e9, F.format_string(f"%.{places}f", value))
 
 
 def significant_text(value: Column) -> Column:
     """Three significant digits of a positive double, Python's general format."""
-    common = F.least(value, F.lit(1000.0))
-    places = F.lit(6)
-    for bound, n in ((1e-3, 5), (1e-2, 4), (1e-1, 3), (1.0, 2), (10.0, 1), (100.0, 0)):
-        places = F.when(value >= bound, n).otherwise(places)
-    base = F.element_at(F.array(*[F.lit(10**n) for n in range(7)]), places + 1).cast("bigint")
-    plain = _strip_zeros(_place(_units(common, base), base, places))
+    places, base = F.lit(0), F.lit(1)
+    for bound, n in ((100.0, 1), (10.0, 2), (1.0, 3), (1e-1, 4), (1e-2, 5), (1e-3, 6)):
+        places = F.when(value < bound, n).otherwise(places)
+        base = F.when(value < bound, 10**n).otherwise(base)
     return (
         F.when(value < 9.995e-5, _exponent_text(F.format_string("%.2e", value)))
-        .when(value < 999.5, plain)
-        .when(value < 1000, "1e+03")
-        .otherwise(_large_text(value))
+        .when(value >= 999.5, F.when(value < 1000, "1e+03").otherwise(_large_text(value)))
+        .when(_near_tie(value, base), _strip_zeros(_exact_text(value, base, places)))
+        .otherwise(_strip_zeros(_plain_text(value, base, places)))
     )
 
 
