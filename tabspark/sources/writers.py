@@ -24,6 +24,12 @@ def write_splits(df: DataFrame, path: str, keys: Sequence[str] = (), fmt: str =
     _save(df.drop(*keys), path, fmt, by=["split"])
 
 
+def write_split_files(df: DataFrame, folder: str, name: str, keys: Sequence[str] = ()) -> None:
+    """{folder}/{name}_train.csv and _test.csv, the layout load_split reads; each is a folder of part files."""
+    for split in ("train", "test"):
+        _save(df.where(F.col("split") == split).drop("split", *keys), f"{folder.rstrip('/')}/{name}_{split}.csv", "csv")
+
+
 def write_serialized(df: DataFrame, path: str, styles: Sequence[str] = tuple(spec.STYLE_COLUMNS), fmt: str = "parquet") -> None:
     """The texts of the chosen styles and the target label, by split when there is one."""
     texts = [c for s, c in spec.STYLE_COLUMNS.items() if s in styles]
