@@ -157,11 +157,13 @@ FROM documents"""
 
 
 def mentions(s, d):
-    found = label_mentions(F.col("output"), spec.ANSWER_LABELS)
-    return I.answers(s, d).select(
-        "doc_id", "model", "serialization", F.size(found).alias("n"),
-        F.try_element_at(found, F.lit(1))["label"].alias("first_label"),
-        F.try_element_at(found, F.lit(-1))["end"].alias("last_end"),
+    found = I.answers(s, d).select(
+        "doc_id", "model", "serialization", label_mentions(F.col("output"), spec.ANSWER_LABELS).alias("m")
+    )
+    return found.select(
+        "doc_id", "model", "serialization", F.size("m").alias("n"),
+        F.try_element_at("m", F.lit(1))["label"].alias("first_label"),
+        F.try_element_at("m", F.lit(-1))["end"].alias("last_end"),
     )
 
 
