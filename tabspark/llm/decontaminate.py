@@ -34,7 +34,7 @@ def windows(benchmark: DataFrame, size: int, key: str = "item_id", text: str = "
     """Distinct windows: hash, words, their number, and the ids of the items that hold them."""
     items = benchmark.select(F.col(key).cast("string").alias("item"), words_of(F.col(text)).alias("words")).where(F.size("words") > 0)
     length = F.least(F.size("words"), F.lit(size))
-    at = items.select("item", "words", length.alias("len"), F.explode(_window_starts(F.col("words"), length)).alias("i"))
+    at = items.select("item", "words", length.alias("len"), F.explode_outer(_window_starts(F.col("words"), length)).alias("i"))
     grams = at.select("item", "len", F.slice("words", F.col("i"), F.col("len")).alias("gram"))
     return grams.groupBy("gram", "len").agg(F.collect_set("item").alias("items")).select(F.xxhash64("gram").alias("hash"), "gram", "len", "items")
 
@@ -49,12 +49,15 @@ def hits(docs: DataFrame, grams: DataFrame, text: str, row: Column) -> DataFrame
     for r in sizes:
         n = int(r["len"])
         hashed = words.withColumn("h", F.transform(_window_starts(F.col("words"), F.lit(n)), lambda i: F.xxhash64(F.slice("words", i, n))))
-        looked = hashed.select("row", "words", F.posexplode("h").alias("start", "h"))
+        # The outer form keeps Spark from adding a filter that would compute every window twice.
+        looked = hashed.select("row", "words", F.posexplode_outer("h").alias("start", "h"))
         for part in range(parts):
             some = grams.where(F.col("len") == n)
             some = some.where(F.pmod("hash", F.lit(parts)) == part) if parts > 1 else some
             found = looked.join(F.broadcast(some), looked["h"] == some["hash"])
-            found = found.where(F.slice("words", F.col("start") + 1, n) == F.col("gram")).select("row", "start", "len", "items")
+            # Equality in two halves, so that the join's key stays the one long.
+            here = F.slice("words", F.col("start") + 1, n)
+            found = found.where((here <= F.col("gram")) & (here >= F.col("gram"))).select("row", "start", "len", "items")
             out = found if out is None else out.union(found)
     return out
 

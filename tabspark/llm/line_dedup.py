@@ -65,7 +65,8 @@ def line_windows(lines: Column, min_words: int) -> Column:
 def later_runs(docs: DataFrame, key: str, text: str, min_words: int, scratch: Scratch) -> DataFrame:
     """(row, start, count) of every window whose content also occurs at an earlier place."""
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(key, text).alias("row"), counted_lines(split_lines(F.col(text))).alias("l"))
-    windows = rows.select("key", "row", F.explode(line_windows(F.col("l"), min_words)).alias("x"))
+    # The outer form keeps Spark from adding a filter that would compute every window twice.
+    windows = rows.select("key", "row", F.explode_outer(line_windows(F.col("l"), min_words)).alias("x")).where("x IS NOT NULL")
     marks = windows.groupBy("key", "row", F.col("x.w.low").alias("mark"), F.col("x.w.at").alias("at")).agg(
         F.collect_list(F.struct("x.start", "x.w.count", "x.w.content")).alias("around")
     )
@@ -85,8 +86,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     gone = runs.groupBy("row").agg(F.collect_set(F.struct("start", "count")).alias("runs")).select(F.col("row").alias("__row"), F.col("runs").alias("__runs"))
     lines = split_lines(F.coalesce(F.col(text), F.lit("")))
     numbered = F.flatten(F.transform("__runs", lambda r: F.sequence(r["start"], r["start"] + r["count"] - 1)))
-    places = F.transform(F.array_distinct(numbered), lambda k: F.element_at(F.col("__counted"), k)["i"])
-    # The expressions stand in steps: one that is used twice is computed once.
+    # The expressions stand in steps, each used more than once by the next, so that Spark computes them once for a row.
+    place = F.transform(F.array_distinct(numbered), lambda k: F.element_at(F.col("__counted"), k)["i"])
+    places = F.when(F.size("__counted") > 0, place)
     joined = docs.join(gone, F.xxhash64(F.col(key), F.col(text)) == F.col("__row"), "left")
     steps = joined.withColumn("__lines", lines)
     steps = steps.withColumn("__counted", F.when(F.col("__runs").isNotNull(), counted_lines(F.col("__lines"))))
