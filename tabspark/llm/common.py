@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import os
 import uuid
+import zipfile
 from functools import lru_cache
 
 import numpy as np
@@ -14,6 +17,30 @@ from tabspark.staging import shared_dir
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable by Python workers wherever they run: once per application, as a zip in the shared folder."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    path = f"{shared_dir(spark)}/{os.path.basename(package)}-{uuid.uuid4().hex}.zip"
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(context._jsc.hadoopConfiguration()).create(place)
+    stream.write(bytearray(held.getvalue()))
+    stream.close()
+    context.addPyFile(path)
+
+
 class Scratch:
     """Tables written below spark.checkpoint.dir by one call, so that a lost executor costs no recomputation.
 
@@ -23,18 +50,19 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.tables = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self.paths)}"
+        path = f"{self.root}/{self.tables}"
+        self.tables += 1
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out.scratch_path = path
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete the files of a table of this scratch folder that nothing reads any more."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths[id(df)])
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -94,5 +94,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     found = hits(docs, windows(benchmark, size), text, row)
     if found is None:
         return docs
-    bad = found.select(F.col("row").alias("bad")).distinct()
-    return docs.join(bad, row == F.col("bad"), "left_anti")
+    bad = found.select(F.col("row").alias("__bad")).distinct()
+    return docs.join(bad, row == F.col("__bad"), "left_anti")

@@ -22,12 +22,12 @@ from pyspark.sql.functions import pandas_udf
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-MAX_CHUNKS = 400_000
+MAX_CHUNKS = 800_000
 _TABLES: dict[int, "ChunkTable"] = {}
 
 
 class ChunkTable:
-    """Distinct chunk (without its first marker) -> number of ids, ids as text, surface."""
+    """Distinct chunk (without its first marker) -> its ids as text, joined by commas."""
 
     def __init__(self, model: bytes):
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -36,7 +36,13 @@ class ChunkTable:
             raise ValueError("pieces of this model cross whitespace markers, or it changes white space")
         self.alone = self.library.piece_to_id(MARK)
         self.guard = self.library.piece_to_id("a")
-        self.rows: dict[str, tuple[int, str, str]] = {}
+        self.texts = [str(i) for i in range(len(names))]
+        #: What each id shows as; null where only the library can tell (bytes, control and unknown pieces).
+        odd = (self.library.is_byte, self.library.is_control, self.library.is_unknown, self.library.is_unused)
+        self.shown = [None if any(f(i) for f in odd) else x.replace(MARK, " ") for i, x in enumerate(names)]
+        self.rows: dict[str, str] = {}
+        #: Chunks that do not show as they were written.
+        self.changed: dict[str, str] = {}
 
     def keys(self, text: str) -> list[str]:
         """The chunks of a text in order; the library puts a marker before the first word."""
@@ -46,28 +52,37 @@ class ChunkTable:
             return text.split(" ")
         return [x[1:] for x in CHUNK.findall(MARK + text.replace(" ", MARK))]
 
+    def surface(self, ids: list[int]) -> str:
+        """What the ids show inside a text, with the space of the first marker."""
+        parts = [self.shown[i] for i in ids]
+        return self.library.decode([self.guard, *ids])[1:] if None in parts else "".join(parts)
+
     def learn(self, keys: set[str]) -> None:
         new = [k for k in keys if k not in self.rows]
         if len(self.rows) + len(new) > MAX_CHUNKS:
             self.rows.clear()
+            self.changed.clear()
             new = list(keys)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            ids = [x if k else [self.alone] for k, x in zip(part, self.library.encode(part))]
-            shown = self.library.decode([[self.guard, *x] for x in ids])
-            self.rows.update((k, (len(x), ",".join(map(str, x)), s[1:])) for k, x, s in zip(part, ids, shown))
-
-    def lookup(self, text: str | None) -> list[tuple[int, str, str]]:
+            for k, ids in zip(part, self.library.encode(part)):
+                ids = ids if k else [self.alone]
+                self.rows[k] = ",".join([self.texts[i] for i in ids])
+                shown = self.surface(ids)
+                if shown != " " + k.replace(MARK, " "):
+                    self.changed[k] = shown
+
+    def lookup(self, text: str | None) -> tuple[str, str]:
+        """All ids as text, and what the library's decode() returns for them: the first marker shows no space."""
         keys = self.keys(text or "")
         try:
-            return [self.rows[k] for k in keys]
+            listed = ",".join([self.rows[k] for k in keys])
         except KeyError:
             self.learn(set(keys))
-            return [self.rows[k] for k in keys]
-
-    def decode_all(self, found: list[tuple[int, str, str]]) -> str:
-        """What the library's decode() returns for all ids: the marker before the first word shows no space."""
-        return "".join([x[2] for x in found])[1:]
+            listed = ",".join([self.rows[k] for k in keys])
+        if self.changed and not self.changed.keys().isdisjoint(keys):
+            return listed, "".join([self.changed.get(k, " " + k.replace(MARK, " ")) for k in keys])[1:]
+        return listed, (text or "").replace(MARK, " ")
 
 
 def table_of(model: bytes) -> ChunkTable:
@@ -90,7 +105,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", into: str = "id
     @pandas_udf("array<int>")
     def ids(values: pd.Series) -> pd.Series:
         table = table_of(model.value)
-        return pd.Series([[int(i) for x in table.lookup(v) for i in x[1].split(",")] for v in values])
+        return pd.Series([[int(i) for i in x.split(",")] if x else [] for x in (table.lookup(v)[0] for v in values)])
 
     return docs.withColumn(into, ids(F.col(text)))
 
@@ -112,13 +127,12 @@ def round_trip(docs: DataFrame, model_path: str, text: str = "text", into: str =
     model = _shared(docs, model_path)
 
     @pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digests(values: pd.Series) -> pd.DataFrame:
+    def judged(values: pd.Series) -> pd.DataFrame:
         table, out = table_of(model.value), []
         for v in values:
-            found = table.lookup(v)
-            shown = hashlib.sha256(table.decode_all(found).encode("utf-8", "surrogatepass")).hexdigest()
-            listed = hashlib.sha256(",".join([x[1] for x in found]).encode()).hexdigest()
-            out.append((sum([x[0] for x in found]), listed, shown))
+            ids, shown = table.lookup(v)
+            digests = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in (ids, shown)]
+            out.append((ids.count(",") + 1 if ids else 0, *digests))
         return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.withColumn(into, digests(F.col(text)))
+    return docs.withColumn(into, judged(F.col(text)))

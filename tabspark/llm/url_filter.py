@@ -54,21 +54,25 @@ class Words:
     def __init__(self, counts: dict[str, int]):
         total = sum(counts.values()) + 1
         self.cost = {w: math.log(total) - math.log(n) for w, n in counts.items()}
-        self.unknown = math.log(total) + math.log(10)
+        self.total = math.log(total)
         self.seen: dict[str, tuple[str, ...]] = {}
 
+    def unknown(self, length: int) -> float:
+        """Cost of a word that no title holds: each further letter makes it ten times less likely."""
+        return self.total + (length - 1) * math.log(10)
+
     def split(self, name: str) -> tuple[str, ...]:
         if name in self.seen:
             return self.seen[name]
         best, back = [0.0], [0]
         for end in range(1, len(name) + 1):
-            # An unknown stretch costs the more the longer it is.
-            options = [
-                (best[a] + self.cost.get(name[a:end], self.unknown * (end - a)), -a) for a in range(max(0, end - LONGEST_WORD), end)
-            ]
+            options = []
+            for a in range(max(0, end - LONGEST_WORD), end):
+                known = self.cost.get(name[a:end])
+                options.append((best[a] + (self.unknown(end - a) if known is None else known), a))
             c, a = min(options)
             best.append(c)
-            back.append(-a)
+            back.append(a)
         out, end = [], len(name)
         while end:
             out.append(name[back[end] : end])
@@ -129,9 +133,10 @@ def train(judged: DataFrame, words: Words) -> UrlModel:
     urls, tokens = counts[:, BUCKETS], counts[:, :BUCKETS]
     if not urls.sum():
         return UrlModel(words)
-    seen = max(int((tokens.sum(axis=0) > 0).sum()), 1)
-    log_prob = np.log(tokens + 1.0) - np.log(tokens.sum(axis=1, keepdims=True) + seen)
-    return UrlModel(words, log_prob[1] - log_prob[0], float(np.log(urls[1] + 1.0) - np.log(urls[0] + 1.0)))
+    seen = tokens.sum(axis=0) > 0
+    log_prob = np.log(tokens + 1.0) - np.log(tokens.sum(axis=1, keepdims=True) + max(int(seen.sum()), 1))
+    # Tokens that no judged URL holds say nothing.
+    return UrlModel(words, np.where(seen, log_prob[1] - log_prob[0], 0.0), float(np.log(urls[1] + 1.0) - np.log(urls[0] + 1.0)))
 
 
 def judge(urls: DataFrame, model: UrlModel, into: str = "verdict") -> DataFrame:
