@@ -130,8 +130,8 @@ g AS (SELECT DISTINCT doc_id, list_slice(words, i, i + 3) AS g FROM (
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
-reach(doc_id, at) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, b FROM reach JOIN links ON at = a),
-least_id AS (SELECT doc_id, min(at) AS component_id FROM reach GROUP BY 1)
+reach(doc_id, met) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, b FROM reach JOIN links ON met = a),
+least_id AS (SELECT doc_id, min(met) AS component_id FROM reach GROUP BY 1)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d JOIN least_id ON d.doc_id = least_id.doc_id LEFT JOIN n ON d.doc_id = n.doc_id"""
 
