@@ -48,10 +48,12 @@ class ProjectedTree:
             todo += [(a, a + half), (a + half, b)]
         leaves.sort()
         self.ids, self.vectors, points = ids[order], vectors[order], points[order]
-        self.starts = np.array([a for a, _ in leaves])
-        self.ends = np.array([b for _, b in leaves])
-        self.low = np.minimum.reduceat(points, self.starts, axis=0)
-        self.high = np.maximum.reduceat(points, self.starts, axis=0)
+        starts, ends = np.array([a for a, _ in leaves]), np.array([b for _, b in leaves])
+        # Rows of each leaf, filled up with -1.
+        slots = np.arange((ends - starts).max())
+        self.leaf_rows = np.where(starts[:, None] + slots < ends[:, None], starts[:, None] + slots, -1)
+        self.low = np.minimum.reduceat(points, starts, axis=0)
+        self.high = np.maximum.reduceat(points, starts, axis=0)
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and inner products of the best k found."""
@@ -60,27 +62,28 @@ class ProjectedTree:
         gap = np.maximum(np.maximum(self.low - at, at - self.high), 0.0)
         bound = np.einsum("ij,ij->i", gap, gap)
         order = np.argsort(bound, kind="stable")
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0)
-        done, step = 0, 4
+        # Products of whole leaves are rounded in another order than single ones: what lies this close is compared again.
+        close = 1e-9 * self.norm2 / scale
+        rows, scores, last, done, step = np.zeros(0, np.int64), np.zeros(0), -np.inf, 0, 4
         while done < len(order):
-            if len(best) == k:
-                distance2 = 2.0 * self.norm2 - 2.0 * scale * best[-1]
+            if len(rows) >= k:
+                distance2 = 2.0 * self.norm2 - 2.0 * scale * last
                 if bound[order[done]] > STOP * max(distance2, 0.0) + 1e-9 * self.norm2:
                     break
-            leaves = order[done : done + step]
-            rows = np.concatenate([np.arange(a, b) for a, b in zip(self.starts[leaves], self.ends[leaves])])
-            rows = rows[self.ids[rows] != query_id]
-            ids = np.concatenate([best_ids, self.ids[rows]])
-            scores = np.concatenate([best, (self.vectors[rows] * query).cumsum(axis=1)[:, -1]])
-            if len(ids) > k:
-                # Everything at least as good as the k-th, so that ties are decided by id.
-                keep = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-                ids, scores = ids[keep], scores[keep]
-            top = np.lexsort((ids, -scores))[:k]
-            best_ids, best = ids[top], scores[top]
+            more = self.leaf_rows[order[done : done + step]].ravel()
+            more = more[more >= 0]
+            found = self.vectors[more] @ query
+            good = (found >= last - close) & (self.ids[more] != query_id)
+            rows, scores = np.concatenate([rows, more[good]]), np.concatenate([scores, found[good]])
+            if len(rows) >= k:
+                last = np.partition(scores, len(scores) - k)[len(scores) - k]
+                good = scores >= last - close
+                rows, scores = rows[good], scores[good]
             done += step
             step *= 2
-        return best_ids, best
+        exact = (self.vectors[rows] * query).cumsum(axis=1)[:, -1] if len(rows) else scores
+        top = np.lexsort((self.ids[rows], -exact))[:k]
+        return self.ids[rows][top], exact[top]
 
 
 def usable(vector: Column) -> Column:
