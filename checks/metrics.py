@@ -86,12 +86,13 @@ def auc(s, d):
     rows = table(s, d, "orders").select(
         "o_orderpriority", F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label"), "o_totalprice"
     )
-    return M.roc_auc(rows, "label", "o_totalprice", ["o_orderpriority"]).select("o_orderpriority", F.round("auc", 8).alias("auc"))
+    return M.roc_auc(rows, "label", "o_totalprice", ["o_orderpriority"]).select("o_orderpriority", F.round("auc", 8).alias("auc"), "unscored")
 
 
 QUERIES["q_auc"] = auc
 SQL["q_auc"] = f"""WITH pr AS (SELECT o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label,
-  o_totalprice AS prob FROM orders) SELECT o_orderpriority, round(auc, 8) AS auc FROM ({auc_sql("pr", "o_orderpriority")}) q"""
+  o_totalprice AS prob FROM orders) SELECT o_orderpriority, round(auc, 8) AS auc, CAST(0 AS BIGINT) AS unscored
+  FROM ({auc_sql("pr", "o_orderpriority")}) q"""
 
 QUERIES["q_auc_lines"] = lambda s, d: M.roc_auc(
     table(s, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("label"), "l_extendedprice"),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from tabspark import spec
 from tabspark.functions.cleaning import lookup
@@ -14,10 +16,11 @@ def run_keys(path: Column, root: str) -> dict[str, Column]:
     # File sources report percent-encoded URIs.
     plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
     parts = F.split(F.substring_index(plain, root.rstrip("/") + "/", -1), "/")
+    # A file of answers may also be a folder of part files, as Spark writes it.
     return {
         "dataset": F.element_at(parts, 1),
-        "serialization": F.element_at(parts, 2),
-        "model": F.replace(F.element_at(parts, -1), F.lit("_raw_responses.csv"), F.lit("")),
+        "serialization": F.try_element_at(parts, F.lit(2)),
+        "model": F.replace(F.try_element_at(parts, F.lit(3)), F.lit("_raw_responses.csv"), F.lit("")),
     }
 
 
@@ -43,75 +46,24 @@ def total_time(a: Column, b: Column) -> Column:
     return a + b
 
 
-def _near_tie(value: Column, base: Column) -> Column:
-    """Does value * base lie next to a half? Elsewhere any rounding rule gives the same digits."""
-    product = value * base
-    return F.abs(product - F.floor(product) - 0.5) < 1e-4
+def _formatted(value: Column, pattern: str) -> Column:
+    """Python's format of a double, a batch at a time: rounded on its exact binary value, ties to even. Missing stays null."""
 
+    @pandas_udf("string")
+    def shown(values: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or x != x else format(float(x), pattern) for x in values], dtype=object)
 
-def _exact_text(value: Column, base: Column, places: Column) -> Column:
-    """Decimal text of a non-negative double below 1e9, rounded on its exact binary value, ties to even."""
-    whole = F.floor(value)
-    one = F.lit(2**62).cast("decimal(20,0)")
-    fraction = ((value - whole) * F.lit(float(2**62))).cast("bigint").cast("decimal(20,0)") * base.cast("decimal(10,0)")
-    rest = fraction % one
-    low = ((fraction - rest) / one).cast("bigint") + whole * base
-    twice = rest * F.lit(2).cast("decimal(1,0)")
-    units = low + F.when((twice > one) | ((twice == one) & (low % 2 == 1)), 1).otherwise(0)
-    return _place(units, base, places)
-
-
-def _place(units: Column, base: Column, places: Column) -> Column:
-    """Integer units of 1/base as decimal text."""
-    return F.concat(F.floor(units / base).cast("string"), F.lit("."), F.lpad((units % base).cast("string"), places, F.lit("0")))
-
-
-def _plain_text(value: Column, base: Column, places: Column) -> Column:
-    return _place(F.floor(value * base + 0.5), base, places)
+    return shown(value.cast("double"))
 
 
 def fixed_text(value: Column, places: int) -> Column:
-    """Fixed number of decimals, rounded like Python's format."""
-    size, base, count = F.abs(value), F.lit(10**places), F.lit(places)
-    text = F.when(_near_tie(size, base), _exact_text(size, base, count)).otherwise(_plain_text(size, base, count))
-    signed = F.concat(F.when(value < 0, "-").otherwise(""), text)
-    return F.when(size < 1e9, signed).when(size >= 1e9, F.format_string(f"%.{places}f", value))
+    """Fixed number of decimals."""
+    return _formatted(value, f".{places}f")
 
 
 def significant_text(value: Column) -> Column:
-    """Three significant digits of a positive double, Python's general format."""
-    places, base = F.lit(0), F.lit(1)
-    for bound, n in ((100.0, 1), (10.0, 2), (1.0, 3), (1e-1, 4), (1e-2, 5), (1e-3, 6)):
-        places = F.when(value < bound, n).otherwise(places)
-        base = F.when(value < bound, 10**n).otherwise(base)
-    return (
-        F.when(value < 9.995e-5, _exponent_text(F.format_string("%.2e", value)))
-        .when(value >= 999.5, F.when(value < 1000, "1e+03").otherwise(_large_text(value)))
-        .when(_near_tie(value, base), _strip_zeros(_exact_text(value, base, places)))
-        .otherwise(_strip_zeros(_plain_text(value, base, places)))
-    )
-
-
-def _strip_zeros(text: Column) -> Column:
-    return F.regexp_replace(text, r"\.0*$|(\.\d*?)0+$", "$1")
-
-
-def _exponent_text(java: Column) -> Column:
-    return F.concat(_strip_zeros(F.substring_index(java, "e", 1)), F.lit("e"), F.substring_index(java, "e", -1))
-
-
-def _large_text(value: Column) -> Column:
-    whole = F.floor(F.greatest(value, F.lit(100.0)))
-    exponent = F.length(whole.cast("string")) - 1
-    unit = F.pow(F.lit(10.0), exponent - 2).cast("bigint")
-    rest = whole % unit
-    low = ((whole - rest) / unit).cast("bigint")
-    up = (rest * 2 > unit) | ((rest * 2 == unit) & ((value > whole) | (low % 2 == 1)))
-    digits = low + F.when(up, 1).otherwise(0)
-    carry = digits == 1000
-    mantissa = _strip_zeros(_place(F.when(carry, 100).otherwise(digits), F.lit(100), F.lit(2)))
-    shown = (exponent + F.when(carry, 1).otherwise(0)).cast("string")
-    return F.concat(mantissa, F.lit("e+"), F.lpad(shown, 2, "0"))
+    """Three significant digits, Python's general format."""
+    return _formatted(value, ".3g")
 
 
 def cell_text(value: Column, kind: str) -> Column:

@@ -16,24 +16,41 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: Shortest digits that give the same double, the nearest of them. The JVM's own text of a double may differ from them.
+DIGITS = ("com.fasterxml.jackson.core.io.schubfach.DoubleToDecimal", "toString")
+
+
 def py_float_str(col: Column) -> Column:
-    """Text of a double as Python prints it: shortest digits, exponent only below 1e-4 or from 1e16."""
-    plain = col.cast("string")
-    size = F.abs(col)
-    # Between 1e-3 and 1e7 both languages agree. Elsewhere the JVM may print one digit more than needed.
-    texts = [F.format_string(f"%.{n}e", col) for n in (14, 15, 16)]
-    exact = F.coalesce(*[F.when(t.cast("double") == col, t) for t in texts[:2]], texts[2])
-    scientific = F.regexp_replace(exact, r"\.?0+e", "e")
-    large = F.regexp_replace(exact.cast("decimal(38,10)").cast("string"), r"(\.\d+?)0+$", "$1")
-    small = F.regexp_replace(exact.cast("decimal(38,22)").cast("string"), "0+$", "")
-    return (
-        F.when(col.isNull() | F.isnan(col), None)
-        .when((size == 0) | ((size >= 1e-3) & (size < 1e7)), plain)
-        .when(size == float("inf"), F.when(col > 0, "inf").otherwise("-inf"))
-        .when((size < 1e-4) | (size >= 1e16), scientific)
-        .when(size < 1e-3, small)
-        .otherwise(large)
-    )
+    """Text of a double as Python prints it: shortest digits, exponent only below 1e-4 or from 1e16. NaN gives null."""
+
+    def shown(text: Column) -> Column:
+        # As Java writes it: plain between 1e-3 and 1e7, else one digit, the others and an exponent.
+        size = F.regexp_replace(F.substring_index(text, "E", 1), "^-", "")
+        digits = F.regexp_replace(F.replace(size, F.lit("."), F.lit("")), "(?<=.)0+$", "")
+        exponent = F.when(text.contains("E"), F.substring_index(text, "E", -1).cast("int"))
+        whole = F.rpad(digits, exponent + 1, F.lit("0"))
+        large = F.concat(
+            F.substr(whole, F.lit(1), exponent + 1), F.lit("."),
+            F.when(F.length(digits) > exponent + 1, F.substr(digits, exponent + 2)).otherwise("0"),
+        )
+        power = F.abs(exponent).cast("string")
+        scientific = F.concat(
+            F.regexp_replace(size, r"\.0$", ""), F.when(exponent < 0, "e-").otherwise("e+"),
+            F.when(F.length(power) < 2, F.concat(F.lit("0"), power)).otherwise(power),
+        )
+        number = (
+            F.when(exponent.isNull(), size)
+            .when((exponent >= 16) | (exponent < -4), scientific)
+            .when(exponent == -4, F.concat(F.lit("0.000"), digits))
+            .otherwise(large)
+        )
+        return F.concat(F.when(text.startswith("-"), "-").otherwise(""), number)
+
+    text = F.reflect(*[F.lit(x) for x in DIGITS], F.coalesce(col, F.lit(0.0)))
+    # As a lambda variable the text is made once, however often the expression uses it.
+    made = F.element_at(F.transform(F.array(text), shown), 1)
+    infinite = F.when(col > 0, "inf").otherwise("-inf")
+    return F.when(col.isNull() | F.isnan(col), None).when(F.abs(col) == float("inf"), infinite).otherwise(made)
 
 
 # The named escapes of JSON text; the backslash comes first.
@@ -50,14 +67,13 @@ def json_string(col: Column) -> Column:
 
 
 def _unicode_escapes(col: Column) -> Column:
-    """Every character outside printable ASCII as UTF-16 code units, one replacement per distinct character."""
+    """Every character outside printable ASCII as UTF-16 code units; each character is looked at once."""
 
-    def escape(text: Column, ch: Column) -> Column:
-        units = F.lower(F.hex(F.encode(ch, "UTF-16BE")))
-        return F.replace(text, ch, F.regexp_replace(units, "(.{4})", r"\\u$1"))
+    def escape(ch: Column) -> Column:
+        units = F.regexp_replace(F.lower(F.hex(F.encode(ch, "UTF-16BE"))), "(.{4})", r"\\u$1")
+        return F.when((ch >= " ") & (ch <= "~"), ch).otherwise(units)
 
-    others = F.array_distinct(F.regexp_extract_all(col, F.lit("[^ -~]"), 0))
-    return F.aggregate(others, col, escape)
+    return F.array_join(F.transform(F.split(col, ""), escape), "")
 
 
 def text_value(field: T.StructField) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabspark.staging import in_ranges
+
 
 def confusion(df: DataFrame, truth: str, pred: str, labels: Sequence, by: Sequence[str] = ()) -> DataFrame:
     """(by..., truth, pred, n) with every cell of the label grid, zeros included: one conditional aggregation."""
@@ -83,7 +84,10 @@ def binary_metrics(
     if prob is None:
         return out.withColumn(f"{prefix}auc", F.lit(None).cast("double"))
     scored = df.withColumn("__truth", (F.col(truth) == F.lit(positive)).cast("int"))
-    auc = roc_auc(scored, "__truth", prob, by).withColumnRenamed("auc", f"{prefix}auc")
+    found = roc_auc(scored, "__truth", prob, by)
+    # An area over a part of the rows would look like one over all of them.
+    missing = F.raise_error(F.concat(F.col("unscored").cast("string"), F.lit(" rows have no score"))).cast("double")
+    auc = found.select(*by, F.when(F.col("unscored") > 0, missing).otherwise(F.col("auc")).alias(f"{prefix}auc"))
     if by:
         return out.join(auc, list(by), "left")
     # Both sides are a single aggregate row.
@@ -115,56 +119,36 @@ def macro_f1(conf: DataFrame, labels: Sequence | None = None, by: Sequence[str]
     return per_label.groupBy(*by).agg((F.sum(wanted) / len(labels)).alias("f1_macro"))
 
 
-AUC_RANGES = 1024
-
-
-def _score_ranges(df: DataFrame, score: str, ranges: int) -> list[float]:
-    """Bounds that cut the scores into ranges of about equal row counts (sketch, no shuffle of the rows)."""
-    shares = [i / ranges for i in range(1, ranges)]
-    found = df.agg(F.percentile_approx(score, shares, 10_000)).first()[0] or []
-    return sorted(set(found))
-
-
-def roc_auc(df: DataFrame, truth: str, score: str, by: Sequence[str] = (), ranges: int = AUC_RANGES) -> DataFrame:
-    """Exact area under the ROC curve, ties counting one half; missing when only one class is present.
+def roc_auc(df: DataFrame, truth: str, score: str, by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """Exact area under the ROC curve, ties counting one half, and the number of rows without a score (`unscored`).
 
-    Rows are first counted per distinct score. The order of the scores is then walked range by range: the sum of
-    negatives below a score is the total of the lower ranges plus a running sum inside its own range, so no task
-    ever sees more than one range.
+    The area is missing when only one class has scores. Rows are counted per distinct score once; these counts are written
+    and cut into ranges of scores. The sum of negatives below a score is the total of the lower ranges plus a running sum
+    inside its own range, so no task ever sees more than one range.
     """
     by = list(by)
-    rows = df.select(*by, F.col(truth).alias("__t"), F.col(score).cast("double").alias("__s")).where(
-        F.col("__s").isNotNull()
+    given = df.select(*by, F.col(truth).alias("__t"), F.col(score).cast("double").alias("__s"))
+    counted = given.groupBy(*by, "__s").agg(
+        F.count("*").alias("__all"), F.count_if(F.col("__t") == 1).alias("__p"), F.count_if(F.col("__t") == 0).alias("__n")
     )
-    bounds = _score_ranges(rows, "__s", ranges)
-    splits = [-float("inf"), *[b for b in bounds if abs(b) != float("inf")], float("inf")]
-    ranger = Bucketizer(splits=splits, inputCol="__s", outputCol="__r") if len(splits) > 2 else None
-
-    def ranged(df: DataFrame) -> DataFrame:
-        return ranger.transform(df) if ranger else df.withColumn("__r", F.lit(0.0))
-
-    # Totals per range come straight from the rows: map-side counts, a tiny shuffle.
+    ranged = in_ranges(counted, *by, "__s", rows=rows)
+    unscored = ranged.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("__s").isNull(), F.col("__all"))), F.lit(0)).alias("unscored"))
+    scored = ranged.where(F.col("__s").isNotNull())
     upto_range = Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    lower = (
-        ranged(rows)
-        .groupBy(*by, "__r")
-        .agg(F.count_if(F.col("__t") == 0).alias("__rn"))
-        .withColumn("__lower", F.coalesce(F.sum("__rn").over(upto_range), F.lit(0)))
-        .drop("__rn")
-    )
-    counted = rows.groupBy(*by, "__s").agg(
-        F.count_if(F.col("__t") == 1).alias("__p"), F.count_if(F.col("__t") == 0).alias("__n")
-    )
+    lower = scored.groupBy(*by, "__r").agg(F.sum("__n").alias("__rn"))
+    lower = lower.withColumn("__lower", F.coalesce(F.sum("__rn").over(upto_range), F.lit(0))).drop("__rn")
     upto_score = Window.partitionBy(*by, "__r").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("__n").over(upto_score), F.lit(0))
     wins = (
-        ranged(counted)
-        .withColumn("__below", below)
+        scored.withColumn("__below", below)
         .join(lower, [*by, "__r"])
         .withColumn("__wins", F.col("__p") * (F.col("__lower") + F.col("__below") + F.col("__n") / 2.0))
     )
     pairs = F.sum("__p").cast("double") * F.sum("__n")
-    return wins.groupBy(*by).agg(F.when(pairs > 0, F.try_divide(F.sum("__wins"), pairs)).alias("auc"))
+    area = wins.groupBy(*by).agg(F.when(pairs > 0, F.try_divide(F.sum("__wins"), pairs)).alias("auc"))
+    if by:
+        return unscored.join(area, by, "left").select(*by, "auc", "unscored")
+    return unscored.withColumn("__one", F.lit(1)).join(area.withColumn("__one", F.lit(1)), "__one", "left").select("auc", "unscored")
 
 
 def constant_baselines(df: DataFrame, truth: str, by: Sequence[str] = ()) -> DataFrame:

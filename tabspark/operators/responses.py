@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from tabspark import spec
 
 
-# Largest rank bound that Spark pushes below the shuffle by default, and slices per run beyond it.
-PUSHED_RANKS = 1000
+# Slices of a run that are ranked apart before the run as a whole.
 SLICES = 256
 
 
@@ -44,14 +43,11 @@ def answer_distribution(df: DataFrame, by: Sequence[str]) -> DataFrame:
 def answer_patterns(df: DataFrame, by: Sequence[str], k: int, col: str = "output") -> DataFrame:
     """The k most frequent distinct answers per run; ties in text order.
 
-    Answers are counted first, and Spark pushes the rank filter below the shuffle, so that each task hands on at most
-    k rows per run.
+    Answers are counted first, then ranked inside slices of each run, and the best k of every slice in the run.
     """
     counted = df.groupBy(*by, col).agg(F.count("*").alias("n"))
     best_first = [F.desc("n"), F.asc_nulls_first(col)]
-    if k > PUSHED_RANKS:
-        # Too many ranks for Spark to push down: the top k of every slice of a run first, then of the run.
-        sliced = Window.partitionBy(*by, F.pmod(F.xxhash64(col), F.lit(SLICES))).orderBy(*best_first)
-        counted = counted.withColumn("rank", F.row_number().over(sliced)).where(F.col("rank") <= k).drop("rank")
+    sliced = Window.partitionBy(*by, F.pmod(F.xxhash64(col), F.lit(SLICES))).orderBy(*best_first)
+    counted = counted.withColumn("rank", F.row_number().over(sliced)).where(F.col("rank") <= k).drop("rank")
     order = Window.partitionBy(*by).orderBy(*best_first)
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

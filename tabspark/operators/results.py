@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from tabspark import spec
 from tabspark.functions.cleaning import nan_to_null, to_numeric
 from tabspark.functions.display import total_time
+from tabspark.staging import in_ranges
 
 
 def upsert(base: DataFrame, new: DataFrame, keys: Sequence[str] = spec.RESULT_KEY) -> DataFrame:
-    """New rows replace base rows with the same key; the rest of the base stays."""
-    return base.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
+    """New rows replace base rows with the same key (missing parts are equal); the rest of the base stays."""
+    fresh = new.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return base.join(fresh, same, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -27,9 +30,13 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 def carry_over(
     new: DataFrame, old: DataFrame, cols: Sequence[str], keys: Sequence[str] = spec.RESULT_KEY, order: str | None = None
 ) -> DataFrame:
-    """Values of `cols` from the earlier table by key (its last row per key); null for new keys."""
-    if order is not None:
-        old = keep_last(old.select(*keys, *cols, order), keys, order).drop(order)
+    """Values of `cols` from the earlier table by key (its last row per key); null for new keys.
+
+    Without an order column the last row is the one that stands last in the table as Spark reads it.
+    """
+    if order is None:
+        old, order = old.withColumn("__order", F.monotonically_increasing_id()), "__order"
+    old = keep_last(old.select(*keys, *cols, order), keys, order).drop(order)
     return new.drop(*cols).join(old.select(*keys, *cols), list(keys), "left")
 
 
@@ -67,17 +74,33 @@ def average_duplicates(df: DataFrame, by: Sequence[str] = ("dataset", "model_lab
     return df.groupBy(*by).agg(*[F.avg(c).alias(c) for c in values])
 
 
+def dataset_list(df: DataFrame) -> DataFrame:
+    """Sorted distinct datasets of a result table."""
+    return df.where(F.col("dataset").isNotNull()).select("dataset").distinct().orderBy("dataset")
+
+
+def _ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """`rank` per dataset: places inside ranges of the order, plus the rows of the lower ranges."""
+    ranged = in_ranges(df, "dataset", *order)
+    inside = F.row_number().over(Window.partitionBy("dataset", "__r").orderBy(*order))
+    upto = Window.partitionBy("dataset").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    lower = ranged.groupBy("dataset", "__r").agg(F.count("*").alias("__n"))
+    lower = lower.select(F.col("dataset").alias("__d"), F.col("__r").alias("__q"), F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__lower"))
+    placed = ranged.withColumn("__place", inside).join(
+        lower, F.col("dataset").eqNullSafe(F.col("__d")) & (F.col("__r") == F.col("__q"))
+    )
+    return placed.withColumn("rank", (F.col("__lower") + F.col("__place")).cast("int")).drop("__r", "__d", "__q", "__lower", "__place")
+
+
 def rank_quality(df: DataFrame) -> DataFrame:
     """`rank` per dataset: macro F1 descending, missing last, ties alphabetical."""
-    order = Window.partitionBy("dataset").orderBy(F.desc_nulls_last("test_f1_macro"), F.asc("model_label"))
-    return df.withColumn("rank", F.row_number().over(order))
+    return _ranked(df, F.desc_nulls_last("test_f1_macro"), F.asc("model_label"))
 
 
 def rank_runtime(df: DataFrame) -> DataFrame:
     """`rank` per dataset: total runtime ascending, missing last, ties alphabetical."""
     total = total_time(F.col("train_time_seconds"), F.col("prediction_time_seconds"))
-    order = Window.partitionBy("dataset").orderBy(F.asc_nulls_last("total_runtime_seconds"), F.asc("model_label"))
-    return df.withColumn("total_runtime_seconds", total).withColumn("rank", F.row_number().over(order))
+    return _ranked(df.withColumn("total_runtime_seconds", total), F.asc_nulls_last("total_runtime_seconds"), F.asc("model_label"))
 
 
 def time_spread(df: DataFrame, by: Sequence[str], label: str, time: str = "prediction_time_seconds") -> DataFrame:
@@ -110,11 +133,15 @@ def time_range(df: DataFrame, by: Sequence[str] = ("dataset",), cols: Sequence[s
 def best_config(
     scores: DataFrame, config: str, by: Sequence[str] = (), metric: str = "f1_macro", order: str | None = None
 ) -> DataFrame:
-    """Means over the folds of the configuration with the highest mean metric; ties go to the first one in order."""
+    """Means over the folds of the configuration with the highest mean metric.
+
+    Ties go to the first one in order; a configuration without a mean comes last.
+    """
     order = order or config
     metrics = [c for c in ("f1_macro", "accuracy", "precision", "recall", "auc") if c in scores.columns]
     keys = list(dict.fromkeys([*by, config, order]))
     means = scores.groupBy(*keys).agg(*[F.avg(m).alias(m) for m in metrics])
     row = F.struct(*list(dict.fromkeys([config, order])), *metrics)
-    best = means.groupBy(*by).agg(F.min_by(row, F.struct(-F.col(metric), F.col(order))).alias("__row"))
+    mean = F.when(~F.isnan(metric), F.col(metric))
+    best = means.groupBy(*by).agg(F.min_by(row, F.struct(mean.isNull(), -mean, F.col(order))).alias("__row"))
     return best.select(*by, "__row.*")

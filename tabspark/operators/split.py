@@ -2,110 +2,116 @@
 
 Every unit (row key or group) gets the md5 text of 'key:seed'. A split is a cut of that hash order, so once the cut
 hash of a class is known each row decides for itself: no row is moved, ranked or sorted. Cuts are found by counting:
-units per leading hash digits, then only inside the digits that hold a cut, until the hash itself is known. Two such
-jobs do for tens of millions of units per class, three for a hundred billion. Copies of a key share a hash and stay
-on one side.
+units per class and leading hash digits, then only inside the digits that hold a cut, until the hash itself is known.
+Classes, counts and cuts stay tables, so their number has no limit. Copies of a key share a hash and stay on one side.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabspark import spec
 from tabspark.functions.text import quoted
-from tabspark.staging import SMALL_ROWS, staged
+from tabspark.staging import staged
 
 HASH_DIGITS = 32
-STEP = 3
-MAX_CLASSES = 100
-MAX_ROWS = MAX_CLASSES * 16**STEP
+#: Leading hash digits of the counting passes: the last one counts whole hashes.
+PASSES = (3, 6, HASH_DIGITS)
+#: Cuts that are written into the plan as literals; more of them are joined by class.
+LITERAL_CUTS = 1000
 
 
 def unit_hash(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed}")))
 
 
-def _count(units: DataFrame, digits: Column) -> list[Row]:
-    """Units per class and leading digits; `single` hints that all of them share one hash."""
-    mark = F.xxhash64("h")
-    counted = units.groupBy("stratum", F.substring(F.col("h"), F.lit(1), digits).alias("prefix"))
-    rows = counted.agg(F.count("*").alias("n"), (F.min(mark) == F.max(mark)).alias("single"))
-    found = rows.orderBy("stratum", "prefix").limit(MAX_ROWS + 1).collect()
-    if len(found) > MAX_ROWS:
-        raise ValueError(f"stratification by a column with more than {MAX_CLASSES} values")
-    return found
+def class_key(label: Column) -> Column:
+    """Text of a class; missing labels are a class of their own."""
+    return F.coalesce(F.concat(F.lit("="), label.cast("string")), F.lit(""))
 
 
-def _find_cuts(units: DataFrame, plan: Callable[[dict], dict]) -> dict:
-    """units(stratum, h); plan(class sizes) -> {(class, part): units up to the cut}; gives {(class, part): cut hash}.
+def _units(label: Column, key: Column, seed: int) -> list[Column]:
+    return [label.alias("stratum"), class_key(label).alias("c"), unit_hash(key, seed).alias("h")]
 
-    A cut is the smallest hash such that at least the wanted number of units of the class have a hash up to it.
-    """
-    rows = _count(units, F.lit(STEP))
-    sizes: dict = {}
-    for row in rows:
-        sizes[row["stratum"]] = sizes.get(row["stratum"], 0) + row["n"]
-    open_cuts = {k: ("", need) for k, need in plan(sizes).items() if need > 0}
-    cuts = {}
-    while open_cuts:
-        deeper, whole = {}, set()
-        for (c, part), (prefix, need) in open_cuts.items():
-            for row in (r for r in rows if r["stratum"] == c and r["prefix"].startswith(prefix)):
-                if row["n"] >= need:
-                    break
-                need -= row["n"]
-            if len(row["prefix"]) == HASH_DIGITS:
-                cuts[c, part] = row["prefix"]
-                continue
-            deeper[c, part] = (row["prefix"], need)
-            if row["single"] or row["n"] <= SMALL_ROWS:
-                whole.add(row["prefix"])
-        open_cuts = deeper
-        if open_cuts:
-            rows = _inside(units, {(c, prefix) for (c, _), (prefix, _) in open_cuts.items()}, whole)
-    return cuts
-
-
-def _inside(units: DataFrame, buckets: set, whole: set) -> list[Row]:
-    """Counts one step deeper inside the given (class, prefix) buckets; by whole hash where few are left."""
-    wanted, digits = F.lit(False), F.lit(HASH_DIGITS)
-    for c, prefix in sorted(buckets, key=lambda b: b[1]):
-        wanted = wanted | (F.col("stratum").eqNullSafe(F.lit(c)) & F.col("h").startswith(prefix))
-        if prefix not in whole:
-            digits = F.when(F.col("h").startswith(prefix), len(prefix) + STEP).otherwise(digits)
-    return _count(units.where(wanted), digits)
-
-
-def test_sizes(sizes: dict, frac: float) -> dict:
-    """Units per class in the test part: ceil(frac * n) in all, shared out by largest remainder."""
-    total = sum(sizes.values())
-    wanted = math.ceil(frac * total)
-    exact = {k: n / total * wanted for k, n in sizes.items()}
-    out = {k: math.floor(x) for k, x in exact.items()}
-    by_remainder = sorted(sizes, key=lambda k: out[k] - exact[k])
-    for k in by_remainder[: wanted - sum(out.values())]:
-        out[k] += 1
-    return out
 
+def _class_sizes(units: DataFrame) -> DataFrame:
+    """(stratum, c, n): one row per class."""
+    return staged(units.groupBy("stratum", "c").agg(F.count("*").alias("n")))
 
-def fold_sizes(sizes: dict, k: int) -> dict:
-    """Units per class and fold: classes laid end to end in order and dealt out to the folds in turn."""
-    out, offset = {}, 0
-    for key, n in sizes.items():
-        out[key] = [len(range((i - offset) % k, n, k)) for i in range(k)]
-        offset += n
-    return out
 
+def _find_cuts(units: DataFrame, wanted: DataFrame) -> DataFrame:
+    """units (c, h); wanted (c, part, need); gives (c, part, cut).
 
-def _by_class(label: Column, values: dict, default: Column) -> Column:
-    out = default
-    for key, value in values.items():
-        out = F.when(label.eqNullSafe(F.lit(key)), value).otherwise(out)
-    return out
+    A cut is the smallest hash such that at least `need` units of the class have a hash up to it.
+    """
+    found = wanted.where("need > 0").select("c", "part", "need", F.lit("").alias("prefix"))
+    known = 0
+    for digits in PASSES:
+        inside = units.withColumn("prefix", F.substring("h", 1, known))
+        if known:
+            held = found.select("c", "prefix").distinct()
+            # A few classes and parts: the filter is a list in the plan. Else both sides meet by class and digits.
+            few = held.limit(LITERAL_CUTS + 1).collect()
+            if len(few) <= LITERAL_CUTS:
+                inside = inside.where(F.concat("prefix", "c").isin([r["prefix"] + r["c"] for r in few]))
+            else:
+                inside = inside.join(held, ["c", "prefix"], "left_semi")
+        counted = inside.groupBy("c", "prefix", F.substring("h", 1, digits).alias("longer")).agg(F.count("*").alias("n"))
+        upto = Window.partitionBy("c", "prefix").orderBy("longer").rowsBetween(Window.unboundedPreceding, 0)
+        counted = counted.withColumn("upto", F.sum("n").over(upto))
+        reached = found.join(counted, ["c", "prefix"]).where("upto >= need")
+        first = F.min(F.struct("longer", (F.col("need") - F.col("upto") + F.col("n")).alias("need"))).alias("x")
+        found = staged(reached.groupBy("c", "part").agg(first).select("c", "part", "x.need", F.col("x.longer").alias("prefix")))
+        known = digits
+    return found.select("c", "part", F.col("prefix").alias("cut"))
+
+
+def test_sizes(sizes: DataFrame, frac: float) -> DataFrame:
+    """(c, part, need): units per class in the test part, ceil(frac * n) in all, shared out by largest remainder."""
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    wanted = math.ceil(frac * total)
+    exact = sizes.withColumn("exact", F.try_divide(F.col("n").cast("double"), F.lit(total)) * wanted)
+    exact = exact.withColumn("base", F.floor("exact"))
+    rest = wanted - (exact.agg(F.sum("base")).first()[0] or 0)
+    more = exact.orderBy(F.col("base") - F.col("exact"), F.asc_nulls_first("stratum")).limit(rest).select("c", F.lit(1).alias("more"))
+    return exact.join(more, "c", "left").select("c", F.lit(0).alias("part"), (F.col("base") + F.coalesce("more", F.lit(0))).alias("need"))
+
+
+def fold_sizes(sizes: DataFrame, k: int) -> DataFrame:
+    """(c, part, need): units per class up to each fold but the last; classes are laid end to end in order and dealt out in turn."""
+    before = Window.orderBy(F.asc_nulls_first("stratum")).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per class goes through the window.
+    placed = sizes.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    fold = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("part")
+    dealt = placed.select("c", "n", "offset", fold).withColumn("skip", F.pmod(F.col("part") - F.col("offset"), F.lit(k)))
+    own = F.greatest(F.floor((F.col("n") - F.col("skip") + (k - 1)) / k), F.lit(0))
+    upto = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.select("c", "part", F.sum(own).over(upto).alias("need")).where(F.col("part") < k - 1)
+
+
+def _count_passed(df: DataFrame, label: Column, h: Column, cuts: DataFrame, name: str, include: bool) -> DataFrame:
+    """Add how many of the cuts of its class a row lies above, or, with include, up to how many it lies."""
+    listed = cuts.groupBy("c").agg(F.collect_list("cut").alias("cuts"))
+    few = cuts.limit(LITERAL_CUTS + 1).collect()
+    c = class_key(label)
+    if len(few) <= LITERAL_CUTS:
+        by_class: dict = {}
+        for r in few:
+            by_class.setdefault(r["c"], []).append(r["cut"])
+        number = F.lit(0)
+        for key, bounds in by_class.items():
+            counted = F.lit(0)
+            for cut in sorted(bounds):
+                counted = counted + ((h <= cut) if include else (h > cut)).cast("int")
+            number = F.when(c == F.lit(key), counted).otherwise(number)
+        return df.withColumn(name, number)
+    beyond = F.size(F.filter("__cuts", lambda cut: (h <= cut) if include else (h > cut)))
+    listed = listed.select(F.col("c").alias("__c"), F.col("cuts").alias("__cuts"))
+    joined = df.join(listed, c == F.col("__c"), "left").withColumn(name, F.when(F.col("__cuts").isNull(), 0).otherwise(beyond))
+    return joined.drop("__c", "__cuts")
 
 
 def stratified_split(
@@ -115,43 +121,30 @@ def stratified_split(
 
     Action: reads the key and label columns a few times to find one cut hash per class.
     """
-    h = unit_hash(quoted(key), seed)
-    units = df.select(quoted(label).alias("stratum"), h.alias("h"))
-    cuts = _find_cuts(units, lambda sizes: {(c, 0): n for c, n in test_sizes(sizes, frac).items()})
-    in_test = {c: h <= F.lit(cut) for (c, _), cut in cuts.items()}
-    return df.withColumn("split", F.when(_by_class(quoted(label), in_test, F.lit(False)), "test").otherwise("train"))
+    units = df.select(*_units(quoted(label), quoted(key), seed))
+    cuts = _find_cuts(units, test_sizes(_class_sizes(units), frac))
+    marked = _count_passed(df, quoted(label), unit_hash(quoted(key), seed), cuts, "split", include=True)
+    return marked.withColumn("split", F.when(F.col("split") > 0, "test").otherwise("train"))
 
 
 def group_split(df: DataFrame, group: str, frac: float = spec.TEST_FRACTION, seed: int = spec.SEED) -> DataFrame:
     """Add `split` so that all rows of a group are on one side; ceil(frac * groups) groups are in the test part."""
-    h = unit_hash(quoted(group), seed)
     # The groups are written once: counting them must not run the whole input again.
     groups = df.select(quoted(group).alias("g")).distinct()
-    units = staged(groups.select(F.lit(0).alias("stratum"), unit_hash(F.col("g"), seed).alias("h")))
-    cuts = _find_cuts(units, lambda sizes: {(0, 0): math.ceil(frac * sum(sizes.values()))})
-    in_test = h <= F.lit(cuts[0, 0]) if cuts else F.lit(False)
-    return df.withColumn("split", F.when(in_test, "test").otherwise("train"))
+    units = staged(groups.select(*_units(F.lit(0), F.col("g"), seed)))
+    cuts = _find_cuts(units, test_sizes(_class_sizes(units), frac))
+    marked = _count_passed(df, F.lit(0), unit_hash(quoted(group), seed), cuts, "split", include=True)
+    return marked.withColumn("split", F.when(F.col("split") > 0, "test").otherwise("train"))
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = spec.CV_FOLDS, seed: int = spec.SEED) -> DataFrame:
     """Add `fold` (0..k-1) with class shares kept in every fold."""
-    h = unit_hash(quoted(key), seed)
-    units = df.select(quoted(label).alias("stratum"), h.alias("h"))
-    per_class: dict = {}
-
-    def plan(sizes: dict) -> dict:
-        per_class.update(fold_sizes(sizes, k))
-        return {(c, f): sum(n[: f + 1]) for c, n in per_class.items() for f in range(k - 1)}
-
-    cuts = _find_cuts(units, plan)
-    folds = {}
-    for c in per_class:
-        number = F.lit(0)
-        for f in range(k - 1):
-            # No cut for this fold: it and all before it are empty, so every row lies above it.
-            number = number + ((h > F.lit(cuts[c, f])).cast("int") if (c, f) in cuts else F.lit(1))
-        folds[c] = number
-    return df.withColumn("fold", _by_class(quoted(label), folds, F.lit(0)))
+    units = df.select(*_units(quoted(label), quoted(key), seed))
+    needs = staged(fold_sizes(_class_sizes(units), k))
+    cuts = _find_cuts(units, needs)
+    # Parts that end before the first unit have no cut: every row lies above them.
+    empty = needs.where("need <= 0").select("c", "part", F.lit("").alias("cut"))
+    return _count_passed(df, quoted(label), unit_hash(quoted(key), seed), cuts.union(empty), "fold", include=False)
 
 
 def split_overlap(df: DataFrame, key: str) -> DataFrame:

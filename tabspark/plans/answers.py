@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from time import perf_counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabspark import spec
@@ -15,6 +16,8 @@ from tabspark.operators.clean import SHOWN_VALUES
 from tabspark.operators.learn import batch_score
 from tabspark.plans.serialize import with_prompt
 from tabspark.sources.readers import load_serialized
+from tabspark.sources.writers import append_run_log, read_run_log, write_responses
+from tabspark.staging import path_exists
 
 BY = list(spec.RESULT_KEY)
 
@@ -28,10 +31,12 @@ def answer_job(
     key: str,
     max_examples: int | None = None,
     batch_size: int = 1,
+    inputs: Sequence[str] = ("prompt", "text"),
 ) -> DataFrame:
-    """Prompt and answer for every test row of a serialized table; only test rows are ever read."""
+    """Prompt and answer for every test row of a serialized table; only test rows are ever read, and the scorer is given
+    the `inputs` columns only."""
     rows = with_prompt(load_serialized(df, style, key, max_examples), dataset)
-    answered = batch_score(rows, scorer_factory, {"output": "string"}, batch_size)
+    answered = batch_score(rows, scorer_factory, {"output": "string"}, batch_size, inputs)
     return answered.drop("text").withColumns(
         {"dataset": F.lit(dataset.name), "serialization": F.lit(style), "model": F.lit(model)}
     )
@@ -65,7 +70,10 @@ def require_known_targets(df: DataFrame, specs: Mapping[str, spec.DatasetSpec])
 
 
 def evaluate_responses(df: DataFrame, specs: Mapping[str, spec.DatasetSpec], by: Sequence[str] = BY) -> DataFrame:
-    """One result row per run from stored answers, all runs in one aggregation. Invalid answers count as wrong."""
+    """One result row per run from stored answers, all runs in one aggregation. Invalid answers count as wrong.
+
+    Target labels that no dataset description knows are counted in the same pass and make the result fail.
+    """
     negative, positive = spec.ANSWER_LABELS
     by = list(by)
     evaluated = evaluate_answers(df, specs)
@@ -74,7 +82,15 @@ def evaluate_responses(df: DataFrame, specs: Mapping[str, spec.DatasetSpec], by:
         *metrics.count_columns(F.col("expected_prediction"), F.col("parsed_prediction"), positive, negative),
         F.count_if(status == "non_relevant").alias("non_relevant_responses"),
         F.count_if(status == "ambiguous").alias("ambiguous_responses"),
+        F.count_if(F.col("expected_prediction").isNull()).alias("__unknown"),
+        F.min(F.when(F.col("expected_prediction").isNull(), F.coalesce("target_col", F.lit("nan")))).alias("__first"),
+    )
+    found = F.concat(
+        F.lit("unknown target labels in the answers: "), F.col("__unknown").cast("string"), F.lit(" rows, first '"), "__first",
+        F.lit("'; require_known_targets lists them"),
     )
+    # A filter, so that no choice of columns can skip it.
+    sums = sums.where(F.when(F.col("__unknown") > 0, F.raise_error(found).cast("boolean")).otherwise(True))
     quality = metrics.metric_columns(fixed_labels=True, prefix="test_")
     invalid = F.col("non_relevant_responses") + F.col("ambiguous_responses")
     target = F.lit(None).cast("string")
@@ -113,3 +129,32 @@ def rebuild_results(
     if old is None:
         return fresh.withColumns({c: F.lit(None).cast("double") for c in CARRIED})
     return results.carry_over(fresh, old, CARRIED, order=order)
+
+
+def run_answers(
+    spark: SparkSession,
+    grid: DataFrame,
+    make_answers: Callable[[str, str, str], DataFrame],
+    specs: Mapping[str, spec.DatasetSpec],
+    root: str,
+    batch_size: int = 1,
+) -> DataFrame:
+    """Every run of the grid (dataset, model, serialization) that the log does not hold yet; returns the log's latest rows.
+
+    make_answers(dataset, serialization, model) gives a run's answers. After each run its answers are below
+    {root}/answers and its result row is in {root}/log, so that an interrupted loop goes on where it stopped.
+    """
+    log = f"{root.rstrip('/')}/log"
+    done = {tuple(r) for r in read_run_log(spark, log).select(*BY).collect()} if path_exists(spark, log) else set()
+    for run in grid.select(*BY).orderBy(*BY).collect():
+        if tuple(run) in done:
+            continue
+        started = perf_counter()
+        answers = make_answers(run["dataset"], run["serialization"], run["model"])
+        meta = write_responses(answers, f"{root.rstrip('/')}/answers", 0, batch_size).drop("total_examples", "n_examples")
+        seconds = perf_counter() - started
+        mine = F.struct(*BY) == F.struct(*[F.lit(run[c]) for c in BY])
+        stored = spark.read.parquet(f"{root.rstrip('/')}/answers").where(mine)
+        row = evaluate_responses(stored, specs).join(F.broadcast(meta.where(mine)), BY)
+        append_run_log(row.withColumnRenamed("output_file", "raw_responses_file").withColumn("prediction_time_seconds", F.lit(seconds)), log)
+    return read_run_log(spark, log)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tabspark import spec
+from tabspark.staging import staged
 
 
 def _save(df: DataFrame, path: str, fmt: str, mode: str = "overwrite", by: Sequence[str] = ()) -> None:
@@ -42,21 +43,34 @@ def write_responses(
 ) -> DataFrame:
     """Answers by dataset, serialization and model; a run tag becomes part of the model name. Returns run metadata.
 
-    Only the partitions of the written runs are replaced.
+    Every answer is computed once: which runs there are is observed while writing, and they are counted from what was
+    written. Parquet: one table partitioned by run, of which only the written runs are replaced. CSV: the layout that
+    read_responses reads, {path}/{dataset}/{serialization}/{model}_raw_responses.csv, each a folder of part files.
     """
+    spark, root = df.sparkSession, path.rstrip("/")
     model = F.col("model") if run_tag is None else F.concat("model", F.lit(f"_{run_tag}"))
     keyed = df.withColumn("model", model)
     by = ["dataset", "serialization", "model"]
-    writer = keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"')
-    writer.save(path)
-    return keyed.groupBy(*by).agg(F.count("*").alias("n_examples")).withColumns(
+        written = staged(keyed)
+        for run in written.select(*by).distinct().collect():
+            mine = written.where(F.struct(*by) == F.struct(*[F.lit(v) for v in run])).drop(*by)
+            _save(mine, f"{root}/{run['dataset']}/{run['serialization']}/{run['model']}_raw_responses.csv", "csv")
+        file = F.concat(F.lit(f"{root}/"), "dataset", F.lit("/"), "serialization", F.lit("/"), "model", F.lit("_raw_responses.csv"))
+    else:
+        seen = Observation()
+        observed = keyed.observe(seen, F.collect_set(F.struct(*by)).alias("runs"))
+        writer = observed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
+        writer.format(fmt).save(root)
+        runs = spark.createDataFrame([tuple(r) for r in seen.get["runs"]], "dataset string, serialization string, model string")
+        written = spark.read.schema(keyed.schema).format(fmt).load(root).join(F.broadcast(runs), by, "left_semi")
+        file = F.concat(F.lit(root), *[F.concat(F.lit(f"/{c}="), F.col(c)) for c in by])
+    return written.groupBy(*by).agg(F.count("*").alias("n_examples")).withColumns(
         {
             "total_examples": F.lit(total_examples).cast("bigint"),
             "run_tag": F.lit(run_tag).cast("string"),
             "batch_size": F.lit(batch_size),
-            "output_file": F.lit(path),
+            "output_file": file,
         }
     )
 
@@ -66,11 +80,11 @@ def append_run_log(df: DataFrame, path: str) -> None:
     df.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
-def read_run_log(spark: SparkSession, path: str) -> DataFrame:
+def read_run_log(spark: SparkSession, path: str, keys: Sequence[str] = spec.RESULT_KEY) -> DataFrame:
     """Latest row per run key."""
     from tabspark.operators.results import keep_last
 
-    return keep_last(spark.read.parquet(path), spec.RESULT_KEY, "logged_at")
+    return keep_last(spark.read.parquet(path), keys, "logged_at")
 
 
 def write_results(df: DataFrame, path: str, order: Sequence[str] = spec.RESULT_KEY, fmt: str = "csv") -> None:

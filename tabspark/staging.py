@@ -39,7 +39,25 @@ def staged(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place, files = _file_system(spark, path)
+    return files.exists(place)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that staged() returned, once nothing reads it any more."""
+    place, files = _file_system(df.sparkSession, df.staged_path)
+    files.delete(place, True)
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -49,3 +67,20 @@ def small(df: DataFrame) -> DataFrame:
     if len(rows) > SMALL_ROWS:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+#: Rows that one task orders.
+RANGE_ROWS = 200_000
+
+
+def in_ranges(df: DataFrame, *order, rows: int | None = None) -> DataFrame:
+    """The table, written once and cut by the order columns into ranges of about equal size, numbered in order as `__r`.
+
+    What needs a running number over the whole order then adds the totals of the lower ranges to a number inside the range,
+    so that no task orders more than one range. The number of ranges follows from the counted rows.
+    """
+    whole = staged(df)
+    parts = max(1, -(-whole.count() // (rows or RANGE_ROWS)))
+    if parts == 1:
+        return whole.withColumn("__r", F.lit(0))
+    return staged(whole.repartitionByRange(parts, *order).withColumn("__r", F.spark_partition_id()))

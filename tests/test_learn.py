@@ -29,12 +29,17 @@ def test_tuned_trees(spark):
 
 
 def test_tuned_trees_make_their_own_folds(spark):
-    model = TunedTrees(["a", "b"], "target", {"maxDepth": [2]}, folds=2, maxIter=1)
-    out = tuned_result(evaluate(separable(spark).drop("id"), model), model).first()
+    model = TunedTrees(["a", "b"], "target", {"maxDepth": [2]}, key="id", folds=2, maxIter=1)
+    out = tuned_result(evaluate(separable(spark), model), model).first()
     assert out["train_f1_macro"] > 0.9 and "maxDepth" in out["best_parameters"]
     assert {r["fold"] for r in model.scores.collect()} == {0, 1}
 
 
+def test_folds_need_a_key(spark):
+    with pytest.raises(ValueError, match="key"):
+        TunedTrees(["a", "b"], "target", {"maxDepth": [2]}).fit(separable(spark).where("split = 'train'"))
+
+
 def test_encoder_trees_in_a_benchmark(spark):
     table = separable(spark).drop("id")
     families = {"hashed": lambda t: HashedTrees(["a", "b"], "target", maxIter=3)}
@@ -94,3 +99,32 @@ def test_answer_job_reads_test_rows_only(spark):
     assert out.count() == 10 and set(out.columns) >= {"output", "prompt", "dataset", "serialization", "model"}
     assert evaluate_responses(out, spec.DATASETS).first()["test_accuracy"] == 1.0
     assert answer_job(df, spec.HEART, "text_template", "rule", factory, "k", max_examples=3).count() == 3
+
+
+def test_unknown_targets_fail_in_the_evaluation(spark):
+    rows = [("heart", "m", "s", "no heart disease", "negative"), ("heart", "m", "s", "strange", "positive")]
+    df = spark.createDataFrame(rows, "dataset string, model string, serialization string, target_col string, output string")
+    with pytest.raises(Exception, match="unknown target labels"):
+        evaluate_responses(df, spec.DATASETS).select("test_accuracy").collect()
+
+
+def test_the_run_loop_goes_on_where_it_stopped(spark, tmp_path):
+    from tabspark.operators.results import run_grid
+    from tabspark.plans.answers import run_answers
+
+    made = []
+
+    def make(dataset, style, model):
+        if len(made) == 1 and not (tmp_path / "again").exists():
+            raise RuntimeError("stopped")
+        made.append(model)
+        rows = [(dataset, style, model, label, "positive") for label in spec.HEART.target_labels.values()]
+        return spark.createDataFrame(rows, "dataset string, serialization string, model string, target_col string, output string")
+
+    grid = run_grid(spark, ["m0", "m1", "m2"], ["heart"], ["json"])
+    with pytest.raises(RuntimeError):
+        run_answers(spark, grid, make, spec.DATASETS, f"{tmp_path}/runs")
+    (tmp_path / "again").write_text("")
+    out = run_answers(spark, grid, make, spec.DATASETS, f"{tmp_path}/runs").collect()
+    assert made == ["m0", "m1", "m2"] and sorted(r["model"] for r in out) == made
+    assert all(r["n_examples"] == 2 and r["test_accuracy"] == 0.5 for r in out)

@@ -76,7 +76,7 @@ def test_auc_equals_brute_force(spark, ranges):
     pairs = [(int(i * 31 % 7 < 3), 0.5 if i % 3 == 0 else (i * 37 % 101) / 10 ** (i % 9)) for i in range(900)]
     pairs += [(1, float("inf")), (0, float("-inf")), (0, float("inf"))]
     df = spark.createDataFrame(pairs, "t int, s double")
-    assert M.roc_auc(df, "t", "s", ranges=ranges).first()["auc"] == pytest.approx(brute_auc(pairs), abs=1e-12)
+    assert M.roc_auc(df, "t", "s", rows=-(-len(pairs) // ranges)).first()["auc"] == pytest.approx(brute_auc(pairs), abs=1e-12)
 
 
 def test_auc_by_run(spark):
@@ -111,3 +111,10 @@ def test_scaler_uses_population_deviation_of_the_training_rows(spark):
 def test_all_missing_column_stays_missing(spark):
     df = spark.createDataFrame([(None, "train")], "a double, split string")
     assert P.impute(df, P.fit_imputer(df, num=["a"])).first()["a"] is None
+
+
+def test_missing_scores_are_reported(spark):
+    df = spark.createDataFrame([(1, 0.5, 1), (0, 0.1, 0), (1, None, 1)], "t int, s double, p int")
+    assert tuple(M.roc_auc(df, "t", "s").first()) == (1.0, 1)
+    with pytest.raises(Exception, match="have no score"):
+        M.binary_metrics(df, "t", "p", "s").collect()

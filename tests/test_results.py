@@ -82,8 +82,25 @@ def test_pattern_ranking_limits_before_the_shuffle(spark):
     assert {(r["run"], r["rank"], r["n"]) for r in out.collect()} == {(0, 1, 1), (0, 2, 1), (1, 1, 2000), (2, 1, 2000)}
 
 
-def test_pattern_ranking_beyond_the_pushed_bound(spark, monkeypatch):
+def test_pattern_ranking_in_slices(spark, monkeypatch):
     df = spark.range(5000).select((F.col("id") % 3).alias("run"), (F.col("id") * 7 % 1301).cast("string").alias("output"))
     want = {tuple(r) for r in responses.answer_patterns(df, ["run"], 40).collect()}
-    monkeypatch.setattr(responses, "PUSHED_RANKS", 10)
+    monkeypatch.setattr(responses, "SLICES", 3)
     assert {tuple(r) for r in responses.answer_patterns(df, ["run"], 40).collect()} == want and len(want) == 120
+
+
+def test_missing_means_come_last(spark):
+    rows = [(0, None), (0, None), (1, 0.2), (1, 0.4), (2, float("nan"))]
+    scores = spark.createDataFrame(rows, "config int, f1_macro double")
+    assert results.best_config(scores, "config").first()["config"] == 1
+
+
+def test_carried_values_come_from_one_row(spark):
+    new = spark.createDataFrame([("a", "m", "s", 1.0)], "dataset string, model string, serialization string, x double")
+    old = spark.createDataFrame([("a", "m", "s", 5.0), ("a", "m", "s", 6.0)], "dataset string, model string, serialization string, t double")
+    assert [r["t"] for r in results.carry_over(new, old.coalesce(1), ["t"]).collect()] == [6.0]
+
+
+def test_dataset_list(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "dataset string")
+    assert [r[0] for r in results.dataset_list(df).collect()] == ["a", "b"]

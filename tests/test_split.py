@@ -15,32 +15,59 @@ def keyed(spark, n, classes=3):
     return spark.range(n).select("id", (F.col("id") * 7 % 11 % classes).cast("int").alias("y"))
 
 
+def shares(spark, sizes):
+    table = spark.createDataFrame([(y, str(y), n) for y, n in sizes.items()], "stratum int, c string, n long")
+    return {int(r["c"]): r["need"] for r in S.test_sizes(table, 0.2).collect()}
+
+
 @pytest.mark.parametrize("n", [10, 286, 155, 25_000])
 def test_stratified_split_equals_brute_force(spark, n):
     got = {r["id"]: (r["y"], r["split"]) for r in S.stratified_split(keyed(spark, n), "id", "y").collect()}
     by_class = {}
     for key, (y, _) in got.items():
         by_class.setdefault(y, []).append(key)
-    sizes = S.test_sizes({y: len(by_class[y]) for y in sorted(by_class)}, 0.2)
+    sizes = shares(spark, {y: len(by_class[y]) for y in sorted(by_class)})
     assert sum(sizes.values()) == math.ceil(0.2 * n)
     for y, keys in by_class.items():
         test = set(sorted(keys, key=hashed)[: sizes[y]])
         assert {k for k in keys if got[k][1] == "test"} == test
 
 
-def test_published_split_sizes():
-    assert sum(S.test_sizes({0: 157, 1: 129}, 0.2).values()) == 58
-    assert S.test_sizes({0: 157, 1: 129}, 0.2) == {0: 32, 1: 26}
-    assert S.test_sizes({0: 123, 1: 32}, 0.2) == {0: 25, 1: 6}
+def test_published_split_sizes(spark):
+    assert sum(shares(spark, {0: 157, 1: 129}).values()) == 58
+    assert shares(spark, {0: 157, 1: 129}) == {0: 32, 1: 26}
+    assert shares(spark, {0: 123, 1: 32}) == {0: 25, 1: 6}
 
 
 def test_deeper_search_levels_agree(spark, monkeypatch):
     """With tiny limits the search goes down digit by digit; the cuts stay the same."""
     df = keyed(spark, 5000)
     want = S.stratified_split(df, "id", "y").collect()
-    monkeypatch.setattr(S, "STEP", 1)
-    monkeypatch.setattr(S, "SMALL_ROWS", 3)
+    monkeypatch.setattr(S, "PASSES", (1, 2, 3, 5, S.HASH_DIGITS))
     assert S.stratified_split(df, "id", "y").collect() == want
+    monkeypatch.setattr(S, "LITERAL_CUTS", 0)
+    assert sorted(S.stratified_split(df, "id", "y").collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("literal", [0, 1000])
+def test_unbalanced_label(spark, monkeypatch, seed, literal):
+    """One class in forty, with passes that meet both classes in every bucket."""
+    monkeypatch.setattr(S, "PASSES", (1, 2, S.HASH_DIGITS))
+    monkeypatch.setattr(S, "LITERAL_CUTS", literal)
+    df = spark.range(4000).select("id", (F.col("id") % 41 == 0).cast("int").alias("y"))
+    found = {(r["y"], r["split"]): r["count"] for r in S.stratified_split(df, "id", "y", seed=seed).groupBy("y", "split").count().collect()}
+    assert found == {(0, "test"): 780, (0, "train"): 3122, (1, "test"): 20, (1, "train"): 78}
+
+
+def test_many_classes(spark):
+    df = spark.range(6000).select("id", (F.col("id") % 150).alias("y"))
+    split = {(r["y"], r["split"]): r["count"] for r in S.stratified_split(df, "id", "y").groupBy("y", "split").count().collect()}
+    assert split == {(y, s): n for y in range(150) for s, n in (("test", 8), ("train", 32))}
+    folds = S.stratified_folds(df, "id", "y", 5).groupBy("y", "fold").count().collect()
+    assert len(folds) == 750 and {r["count"] for r in folds} == {8}
+    each = S.stratified_split(spark.range(500).withColumn("y", F.col("id")), "id", "y")
+    assert each.where("split = 'test'").count() == 100
 
 
 def test_split_does_not_depend_on_partitioning(spark):
@@ -91,9 +118,3 @@ def test_rows_decide_for_themselves(spark):
     """The finished split has no shuffle, join or window."""
     plan = S.stratified_split(keyed(spark, 1000), "id", "y")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan and "Window" not in plan
-
-
-def test_too_many_classes(spark, monkeypatch):
-    monkeypatch.setattr(S, "MAX_ROWS", 50)
-    with pytest.raises(ValueError, match="more than"):
-        S.stratified_split(spark.range(500).withColumn("y", F.col("id")), "id", "y")
