@@ -87,23 +87,18 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
 
 # --- the random field --------------------------------------------------------
 SIZES = (7, 9, 10, 11, 12, 13, 15, 16, 17, 20)
-CONTEXT = 64
-FEATURES = 1 + len(SIZES) + 1 + 8 + CONTEXT
+FEATURES = 1 + len(SIZES) + 1 + 12
 
 
 def features(text: str, start: int, end: int) -> list[int]:
-    """Numbers of the features that hold: size, separators, at sign, dots, and the word before the token."""
-    token = text[start:end]
+    """Numbers of the features that hold: size, separators, at sign, dots, and what stands next to the token."""
+    token, before, after = text[start:end], text[start - 1 : start], text[end : end + 1]
     digits = sum(c.isdigit() for c in token)
     out = [0, 1 + bisect_left(SIZES, digits)]
     at = 2 + len(SIZES)
-    for i, holds in enumerate(("@" in token, token.count(".") == 3, "." in token, "-" in token, " " in token, "(" in token, digits * 2 < len(token), len(token) > 30)):
-        if holds:
-            out.append(at + i)
-    before = text[max(0, start - 24) : start].split()
-    word = (before[-1] if before else "").strip(".,;:=\"'()").lower()
-    out.append(at + 8 + int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=2).digest(), "big") % CONTEXT)
-    return out
+    shape = ("@" in token, token.count(".") == 3, "." in token, "-" in token, " " in token, "(" in token, digits * 2 < len(token), len(token) > 30)
+    beside = (before.isalnum(), after.isalnum(), before in "\"'=" and before != "", before == ":")
+    return out + [at + i for i, holds in enumerate(shape + beside) if holds]
 
 
 def keys(text: str, start: int, end: int) -> list[str]:
