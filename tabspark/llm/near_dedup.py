@@ -5,10 +5,12 @@
    so the ranks of one element are all different; steps end as soon as no later one can lower a slot.
 3. Nodes that agree in a whole band of the signature share a bucket (32 bands of 5: two sets of similarity 0.8 miss each other
    in all bands with probability 3e-6).
-4. Rounds of stars: in every bucket that holds several components one hub is drawn, and each node is compared with the hub of
-   another component, at most one per node and round, on the whole sets. Links join components.
-5. When few pairs of different components are left in the buckets, or a round of stars joins little, all of them that size
-   allows are compared; none is dropped. Pairs inside one component need no comparison: they cannot change a result.
+4. Every node gets a pivot, the node around it that meets most others (such as the text that copies were made from), and is
+   compared with it on the whole sets. Links join components. Of the elements, the comparison leaves how many of the pivot's the
+   node has lost, and which ones of its own it has.
+5. Only pairs of different components can still change a result. If two nodes have the same pivot, they are compared if they
+   share rare elements of their own, or if what both kept of the pivot would do; any other pair cannot reach the similarity. If
+   they meet in a bucket but have different pivots, they are compared. None is dropped.
 
 Nothing is collected; hot buckets and hubs are split over tasks. Lookups of sets read a bucketed table, without a shuffle.
 
@@ -22,7 +24,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabspark.llm.common import ByteHash, Scratch, mix
@@ -34,8 +36,8 @@ SLOTS = BANDS * ROWS
 KEPT = 6
 #: Members of one hub that one task compares.
 SPLIT = 512
-#: Pairs of different components per node of the buckets below which all of them are compared.
-FEW = 1.0
+#: Steps over shared buckets in which a node looks for its pivot.
+PIVOT_STEPS = 2
 _CHUNK = 1 << 20
 
 
@@ -166,27 +168,38 @@ def stored_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: i
     return spark.table(table)
 
 
-def compare(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (node, hub) whose sets reach the similarity.
+def compare(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, difference: bool = False) -> DataFrame:
+    """The pairs (node, hub) whose sets reach the similarity; with difference, all pairs with what tells the node from the hub.
 
-    Members meet a copy of their hub's set in slices of about SPLIT members, and pass one by one through the task.
+    Then there are also `linked`, hub_n (size of the hub's set), lost (how many of its elements the node lacks) and own (the
+    node's elements that the hub lacks). Members meet a copy of their hub's set in slices of about SPLIT members, and pass one
+    by one through the task.
     """
 
     def run(batches):
         current, hub_set = None, None
         for batch in batches:
-            node, hub = [], []
+            out = []
             for h, part, m, blob in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if m is None:
                     current, hub_set = (h, part), unpack(blob)
                 elif current == (h, part):
-                    own = unpack(blob)
-                    common = len(np.intersect1d(own, hub_set, assume_unique=True))
-                    if 100 * common >= percent * (len(own) + len(hub_set) - common):
-                        node.append(m)
-                        hub.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(hub, pa.int64())], ["node", "hub"])
-
+                    x = unpack(blob)
+                    common = len(np.intersect1d(x, hub_set, assume_unique=True))
+                    linked = 100 * common >= percent * (len(x) + len(hub_set) - common)
+                    if difference:
+                        own = np.setdiff1d(x, hub_set, assume_unique=True).astype(np.int64)
+                        out.append((m, h, linked, len(hub_set), len(hub_set) - common, own))
+                    elif linked:
+                        out.append((m, h))
+            columns = list(zip(*out)) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], list(kinds))
+
+    kinds = {"node": pa.int64(), "hub": pa.int64()}
+    schema = "node long, hub long"
+    if difference:
+        kinds |= {"linked": pa.bool_(), "hub_n": pa.int64(), "lost": pa.int64(), "own": pa.list_(pa.int64())}
+        schema += ", linked boolean, hub_n long, lost long, own array<long>"
     counts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SPLIT).alias("parts"))
     parted = pairs.join(counts, "hub").select("node", "hub", F.pmod(F.xxhash64("node", "hub"), "parts").alias("part"))
     members = parted.join(sets, "node").select("hub", "part", F.col("node").alias("member"), "blob")
@@ -194,15 +207,15 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -
         "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("member"), "blob"
     )
     rows = members.union(hubs).repartition("hub", "part").sortWithinPartitions("hub", "part", F.asc_nulls_first("member"))
-    return scratch.keep(rows.mapInArrow(run, "node long, hub long"))
+    return scratch.keep(rows.mapInArrow(run, schema))
 
 
 def relabel(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """Labels (node, comp, n) after joining the components that the links (node, hub) connect."""
+    """Labels (node, comp, ...) after joining the components that the links (node, hub) connect."""
     at = labels.select("node", "comp")
     ends = links.join(at, "node").select(F.col("hub").alias("node"), F.col("comp").alias("u")).join(at, "node").select("u", F.col("comp").alias("v"))
     roots = components(ends.distinct(), scratch).select(F.col("node").alias("comp"), "root")
-    return scratch.keep(labels.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"), "n"))
+    return scratch.keep(labels.join(roots, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root"))
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 80) -> DataFrame:
@@ -220,8 +233,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     table = f"near_dedup_sets_{uuid.uuid4().hex}"
     try:
         sets = stored_sets(docs, wanted, key, text, size, table)
-        labels = scratch.keep(sets.select("node", F.col("node").alias("comp"), "n"))
-        labels = _link(buckets, sets, labels, percent, scratch)
+        labels = _link(buckets, sets, percent, scratch)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
     grouped = classes.join(labels.select("node", "comp"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "first_id")
@@ -236,28 +248,53 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _link(buckets: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    fits = f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)"
-    turn, before = 0, None
-    while True:
-        turn += 1
-        here = buckets.join(labels, "node")
-        drawn = F.min_by(F.struct("node", "comp", "n"), F.xxhash64("node", F.lit(turn)))
-        mixed = here.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), drawn.alias("h"))
-        open_ = scratch.keep(here.join(mixed.where("lo <> hi").select("bucket", "h"), "bucket"))
-        sizes = open_.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket")
-        sizes = sizes.agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"), F.sum("c").alias("m"))
-        cross, rows = sizes.agg(F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
-        if not cross:
-            return labels
-        if cross <= FEW * rows or (before is not None and cross > 0.8 * before):
-            break
-        before = cross
-        star = open_.where("comp <> h.comp").select("node", "n", F.col("h.node").alias("hub"), F.col("h.n").alias("other_n")).where(fits)
-        pairs = scratch.keep(star.groupBy("node").agg(F.min_by("hub", F.xxhash64("node", "hub", F.lit(turn))).alias("hub")))
-        links = compare(pairs, sets, percent, scratch)
-        labels = relabel(labels, links, scratch)
-    left = open_.select("bucket", "node", "comp", "n")
-    right = open_.select("bucket", F.col("node").alias("hub"), F.col("comp").alias("other"), F.col("n").alias("other_n"))
-    pairs = left.join(right, "bucket").where(f"comp < other AND {fits}").select("node", "hub").distinct()
-    return relabel(labels, compare(scratch.keep(pairs), sets, percent, scratch), scratch)
+def pivots(buckets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, pivot): the node that meets most others in buckets, among those that buckets lead to in PIVOT_STEPS steps."""
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size"))
+    met = buckets.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("met"))
+    best = met.select("node", F.struct("met", "node").alias("p"))
+    for _ in range(PIVOT_STEPS):
+        at = scratch.keep(buckets.join(best, "node"))
+        best = at.drop("p").join(at.groupBy("bucket").agg(F.max("p").alias("p")), "bucket").groupBy("node").agg(F.max("p").alias("p"))
+    return scratch.keep(best.select("node", F.col("p.node").alias("pivot")))
+
+
+def _link(buckets: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(node, comp) of all nodes of the buckets."""
+    share = f"{percent / (100 + percent)!r}"
+    labels = scratch.keep(sets.select("node", F.col("node").alias("comp"), "n").join(pivots(buckets, scratch), "node"))
+    to_pivot = compare(labels.where("node <> pivot").select("node", F.col("pivot").alias("hub")), sets, percent, scratch, difference=True)
+    labels = relabel(labels, to_pivot.where("linked").select("node", "hub"), scratch)
+    # Every node next to its pivot; the pivot itself differs in nothing.
+    nothing = F.array().cast("array<long>")
+    near = labels.join(to_pivot.drop("hub"), "node", "left").withColumns(
+        {"linked": F.coalesce("linked", F.lit(True)), "hub_n": F.coalesce("hub_n", "n"), "lost": F.coalesce("lost", F.lit(0)), "own": F.coalesce("own", nothing)}
+    )
+    near = scratch.keep(near.join(near.groupBy("pivot").agg(F.min("n").alias("least_n")), "pivot"))
+    fits = f"comp <> other AND 100 * least(n, other_n) >= {percent} * greatest(n, other_n)"
+
+    def other(df: DataFrame, *columns: str) -> DataFrame:
+        renamed = {"node": "hub", "comp": "other", "n": "other_n"}
+        return df.select(*columns, *[F.col(c).alias(renamed.get(c, f"other_{c}")) for c in ("node", "comp", "n", "lost", "pivot")])
+
+    # 1. Two nodes that share elements which their pivot lacks: the rarest of these are enough, so common ones seldom count.
+    need = F.expr(f"greatest(1, ceil({share} * (n + least_n) - 1e-6) - (hub_n - lost))")
+    listed = near.select("pivot", "node", "comp", "n", "lost", need.alias("need"), F.size("own").alias("size"), F.explode("own").alias("x"))
+    held = listed.groupBy("pivot", "x").agg(F.count("*").alias("k"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("k", "x"))
+    rare = listed.join(held, ["pivot", "x"]).withColumn("place", place).where("place <= size - need + 1 AND k > 1")
+    rare = scratch.keep(rare.select("pivot", "x", "node", "comp", "n", "lost"))
+    alike = rare.drop("lost").join(other(rare, "x", "pivot").drop("other_lost"), ["pivot", "x"]).where(f"node < hub AND {fits}")
+    # 2. Two nodes that share elements of the pivot only. One of them is not linked to it; then the other is smaller than it.
+    close = near.where(f"lost <= hub_n - {share} * (n + least_n) + 1e-6")
+    small = other(close.where("n < hub_n"), "pivot").drop("other_pivot")
+    inside = close.where("NOT linked").join(small, "pivot")
+    inside = inside.where(f"greatest(lost, other_lost) <= hub_n - {share} * (n + other_n) + 1e-6 AND {fits}")
+    # 3. Two nodes in one bucket with different pivots.
+    here = buckets.join(labels, "node").withColumn("lost", F.lit(0))
+    several = here.groupBy("bucket").agg(F.min("pivot").alias("lo"), F.max("pivot").alias("hi")).where("lo <> hi").select("bucket")
+    here = scratch.keep(here.join(several, "bucket"))
+    apart = here.join(other(here, "bucket"), "bucket").where(f"pivot < other_pivot AND {fits}")
+    pairs = alike.select("node", "hub").union(inside.select("node", "hub")).union(apart.select("node", "hub"))
+    ordered = pairs.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).distinct()
+    return relabel(labels, compare(scratch.keep(ordered), sets, percent, scratch), scratch)

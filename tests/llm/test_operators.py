@@ -259,9 +259,9 @@ def groups_by_force(rows, size, percent):
     return [(len(s), least.get(find(i)), r[0] == least.get(find(i))) for i, (r, s) in enumerate(zip(rows, sets))]
 
 
-@pytest.mark.parametrize(("size", "few"), [(4, 1.0), (5, 1.0), (4, 0.0), (4, 1e9)])
-def test_near_duplicates(docs, monkeypatch, size, few):
-    monkeypatch.setattr(near_dedup, "FEW", few)
+@pytest.mark.parametrize(("size", "steps"), [(4, 2), (5, 2), (4, 0), (4, 1)])
+def test_near_duplicates(docs, monkeypatch, size, steps):
+    monkeypatch.setattr(near_dedup, "PIVOT_STEPS", steps)
     out = near_dedup.groups(docs, size=size).drop("text_hash")
     assert by_id(out) == expected(groups_by_force(corpus(), size, 80))
 
@@ -273,8 +273,9 @@ def test_near_duplicates_of_one_hot_group(spark, monkeypatch):
     rows = []
     for i in range(150):
         words = list(base)
-        for _ in range(draw.randint(0, 4)):
-            words[draw.randrange(120)] = f"x{draw.randrange(10**6)}"
+        for _ in range(draw.randint(0, 9)):
+            at = draw.randrange(len(words))
+            words[at : at + draw.randint(0, 2)] = [f"x{draw.randrange(4)}"] * draw.randint(0, 2)
         rows.append((i, " ".join(words)))
     out = near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string")).drop("text_hash")
     want = {(r[0], *v) for r, v in zip(rows, groups_by_force(rows, 4, 80))}
