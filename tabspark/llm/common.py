@@ -35,10 +35,11 @@ def ship(spark: SparkSession) -> None:
                 out.write(path, os.path.relpath(path, os.path.dirname(package)))
     path = f"{shared_dir(spark)}/{os.path.basename(package)}-{uuid.uuid4().hex}.zip"
     place = context._jvm.org.apache.hadoop.fs.Path(path)
-    stream = place.getFileSystem(context._jsc.hadoopConfiguration()).create(place)
+    files = place.getFileSystem(context._jsc.hadoopConfiguration())
+    stream = files.create(place)
     stream.write(bytearray(held.getvalue()))
     stream.close()
-    context.addPyFile(path)
+    context.addPyFile(files.makeQualified(place).toString())
 
 
 class Scratch:

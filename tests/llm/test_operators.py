@@ -466,13 +466,48 @@ def test_all_null_texts(spark):
     assert line_dedup.dedup_lines(nothing).where("lines.n_lines = 0 AND lines.kept IS NULL").count() == 5
 
 
-def test_pipeline_on_difficult_rows(spark, docs, small_dir, tmp_path):
+def test_pipeline_equals_brute_force(spark, docs, tmp_path):
+    """Stage by stage on the difficult rows: each stage's output is held against plain Python over its own input."""
     folder = str(tmp_path / "sf")
     docs.write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(1, corpus()[40][1])], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
-    kept = spark.read.parquet(f"{folder}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    item = " ".join(next(r[1] for r in corpus()[13:] if len((r[1] or "").split()) > 120).split()[20:60])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+    def grams(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        return {tuple(w[i : i + 10]) for i in range(len(w) - 9)}
+
+    def language(rows):
+        model = langid.train(docs.where(~langid.held_out()))
+        return [r for r in rows if model.judge(r[1])[0] != "und" and model.judge(r[1])[1] >= 0.5]
+
+    def lines(rows):
+        out = []
+        for r, (_, n, kept) in zip(rows, deduped_lines(rows, 50)):
+            if not n or kept.split():
+                out.append((r[0], kept, *r[2:4], len(kept) if n else r[4], *r[5:]))
+        return out
+
+    def near(rows):
+        return [r for r, g in zip(rows, groups_by_force(rows, 5, 80)) if g[2]]
+
+    def clean(rows):
+        return [r for r in rows if not grams(r[1]) & grams(item)]
+
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.model_path())
+
+    def encoded(rows):
+        ids = [library.encode(r[1]) for r in rows]
+        return [(r[0], len(x), sha(",".join(map(str, x))), sha(library.decode(x) if x else "")) for r, x in zip(rows, ids)]
+
+    kept, sizes = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for (name, stage), plain in zip(corpus_pipeline.STAGES, (language, lines, near, clean, encoded)):
+        before = [tuple(r) for r in kept.collect()]
         out = stage(spark, kept, folder)
-        assert out.columns == docs.columns
-        kept = spark.createDataFrame(out.collect(), out.schema)
-    assert corpus_pipeline.run(spark, folder).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        got = [tuple(r) for r in out.collect()]
+        assert Counter(got) == Counter(plain(before)), name
+        sizes.append(len(got))
+        kept = spark.createDataFrame(got, out.schema)
+    assert len(set(sizes[:4])) == 4 and sizes[3] > 5
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert Counter(map(tuple, corpus_pipeline.run(spark, folder).collect())) == Counter(got)
