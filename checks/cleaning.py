@@ -361,3 +361,7 @@ SQL["q_prepare_attributes"] = f"""WITH {I.CUSTOMERS_SQL}, filled AS (SELECT c_cu
     coalesce(seg, {_MODE.format(c="seg")}) AS seg, coalesce(nation, {_MODE.format(c="nation")}) AS nation,
     coalesce(bal, {_MEAN.format(c="bal")}) AS bal, coalesce(level, {_MEAN.format(c="level")}) AS level FROM cu)
 SELECT c_custkey, split, target, seg, nation, {_z("bal")}, {_z("level")} FROM filled"""
+
+QUERIES["q_event_names"] = lambda s, d: clean.name_events(I.clean_log(s, d)).groupBy("code", "event").agg(F.count("*").alias("n"))
+SQL["q_event_names"] = f"""WITH {I.LOG_SQL} SELECT CAST(code AS INTEGER) AS code, CASE code {" ".join(f"WHEN {k} THEN '{v}'" for k, v in spec.EVENT_CODES.items())} END AS event,
+  count(*) AS n FROM log GROUP BY 1, 2"""

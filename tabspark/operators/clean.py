@@ -27,6 +27,11 @@ def clean_events(df: DataFrame, codes: Iterable[int] = tuple(spec.EVENT_CODES))
     )
 
 
+def name_events(df: DataFrame, names: Mapping[int, str] = spec.EVENT_CODES, code: str = "code") -> DataFrame:
+    """Add `event`, the name of the event code."""
+    return df.withColumn("event", C.lookup(quoted(code).cast("string"), {str(k): v for k, v in names.items()}))
+
+
 def keep_known(df: DataFrame, col: str, known: Iterable) -> DataFrame:
     """Rows whose value is in the domain."""
     return df.where(quoted(col).isin(*known))

@@ -84,3 +84,8 @@ def in_ranges(df: DataFrame, *order, rows: int | None = None) -> DataFrame:
     if parts == 1:
         return whole.withColumn("__r", F.lit(0))
     return staged(whole.repartitionByRange(parts, *order).withColumn("__r", F.spark_partition_id()))
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """A written table in partitions of about RANGE_ROWS rows: hundreds of small jobs over it then start few tasks each."""
+    return df.coalesce(max(1, -(-df.count() // RANGE_ROWS)))
