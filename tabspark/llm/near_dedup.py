@@ -35,7 +35,7 @@ SLOTS = BANDS * ROWS
 #: Bytes of a shingle hash kept in the stored sets.
 KEPT = 6
 #: Members of one hub that one task compares.
-SPLIT = 512
+SPLIT = 64
 #: Steps over shared buckets in which a node looks for its pivot.
 PIVOT_STEPS = 2
 _CHUNK = 1 << 20
