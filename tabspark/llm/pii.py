@@ -2,9 +2,10 @@
 
 The patterns give the base spans (`base_spans`). Further candidates - number runs and words with an at sign that no base span
 touches - are nodes of a random field next to the base spans, whose labels are observed. Neighbouring nodes share chain
-potentials; nodes with the same or a similar token (same digits, same last seven digits, same address) share skip potentials
-with the next such node, however far away, so the number of edges is linear. Loopy sum-product passing gives every candidate a
-distribution over {none, email, ip, card, phone}; a candidate whose best kind is at least THRESHOLD sure becomes a span.
+potentials; all nodes with the same or a similar token (same digits, same last seven digits, same address) are joined to one
+hidden node of their own, so the number of edges is linear and any two repeats are two steps apart. Loopy sum-product passing,
+until the messages settle, gives every candidate a distribution over {none, email, ip, card, phone}; a candidate whose best kind
+is at least THRESHOLD sure becomes a span.
 Weights are fitted on a sample of about SAMPLE_DOCS texts, chosen by key hash, with the base spans as labels and without the
 features that define them. Every text is then searched whole.
 
@@ -28,7 +29,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0 is none
 SAMPLE_DOCS = 4_000
 THRESHOLD = 0.9
-ROUNDS = 30
+SETTLED = 1e-4
+ROUNDS = 100  # rounds after which the step of the messages is halved, so that they settle on loops too
 NEAR = 40
 
 _LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -136,17 +138,20 @@ def nodes(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     return base, sorted([(a, b, k + 1) for k, a, b in base] + [(a, b, -1) for a, b in free])
 
 
-def edges(text: str, found: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges between close neighbours, and skip edges to the next same or similar token."""
+def edges(text: str, found: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
+    """Chain edges between close neighbours, and the groups of nodes with the same or a similar token, each group once."""
     chain = [(i, i + 1) for i in range(len(found) - 1) if found[i + 1][0] - found[i][1] <= NEAR]
-    last: dict[str, int] = {}
-    skip = set()
+    held: dict[str, list[int]] = {}
     for i, (a, b, _) in enumerate(found):
         for k in keys(text, a, b):
-            if k in last:
-                skip.add((last[k], i))
-            last[k] = i
-    return chain, sorted(skip)
+            held.setdefault(k, []).append(i)
+    return chain, sorted({tuple(x) for x in held.values() if len(x) > 1})
+
+
+def spoke(weight: float) -> float:
+    """Weight of the edges to a hidden node that gives two nodes joined to it alone the pair potential exp(weight)."""
+    w = np.exp(weight)
+    return float(np.log(w + np.sqrt(w * w + (LABELS - 2) * w - (LABELS - 1))))
 
 
 def propagate(unary: np.ndarray, pairs: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -159,17 +164,21 @@ def propagate(unary: np.ndarray, pairs: np.ndarray, weights: np.ndarray) -> np.n
         back = np.concatenate([np.arange(n, 2 * n), np.arange(n)])
         gain = np.expm1(np.concatenate([weights, weights]))[:, None]
         message = np.zeros((2 * n, LABELS))
-        for _ in range(ROUNDS):
+        step, rounds = 0.5, 0
+        while True:
             belief = unary.copy()
             np.add.at(belief, target, message)
             into = belief[source] - message[back]
             into = np.exp(into - into.max(axis=1, keepdims=True))
             new = np.log(into.sum(axis=1, keepdims=True) + gain * into)
             new -= new.max(axis=1, keepdims=True)
-            moved = np.abs(new - message).max()
-            message = 0.5 * message + 0.5 * new
-            if moved < 1e-4:
+            moved = step * np.abs(new - message).max()
+            message = (1 - step) * message + step * new
+            rounds += 1
+            if moved < SETTLED / 2:
                 break
+            if rounds % ROUNDS == 0:
+                step /= 2
         belief = unary.copy()
         np.add.at(belief, target, message)
     out = np.exp(belief - belief.max(axis=1, keepdims=True))
@@ -177,7 +186,7 @@ def propagate(unary: np.ndarray, pairs: np.ndarray, weights: np.ndarray) -> np.n
 
 
 class SkipChain:
-    """Weights: features x labels, and one for equal labels on chain and on skip edges."""
+    """Weights: features x labels, and one for equal labels on chain edges and of two nodes of one group."""
 
     def __init__(self, table: np.ndarray, chain: float, skip: float):
         self.table, self.chain, self.skip = table, chain, skip
@@ -193,8 +202,11 @@ class SkipChain:
                 unary[i] = self.table[features(text, a, b)].sum(axis=0)
             else:
                 unary[i, label] = 0.0
-        chain, skip = edges(text, found)
-        marginal = propagate(unary, np.array(chain + skip, dtype=np.int64).reshape(-1, 2), np.array([self.chain] * len(chain) + [self.skip] * len(skip)))
+        chain, groups = edges(text, found)
+        star = [(i, len(found) + k) for k, group in enumerate(groups) for i in group]
+        unary = np.concatenate([unary, np.zeros((len(groups), LABELS))])
+        weights = np.array([self.chain] * len(chain) + [spoke(self.skip)] * len(star))
+        marginal = propagate(unary, np.array(chain + star, dtype=np.int64).reshape(-1, 2), weights)[: len(found)]
         best = marginal.argmax(axis=1)
         return base, [(int(best[i]) - 1, a, b) for i, (a, b, label) in enumerate(found) if label < 0 and best[i] > 0 and marginal[i, best[i]] >= THRESHOLD]
 
@@ -212,7 +224,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> SkipChain:
                 for a, b, label in found:
                     k = ("node", max(label, 0), ",".join(map(str, features(value, a, b))))
                     rows[k] = rows.get(k, 0) + 1
-                for name, part in zip(("chain", "skip"), edges(value, found)):
+                chain, groups = edges(value, found)
+                skip = {(i, j) for group in groups for i, j in zip(group, group[1:])}
+                for name, part in (("chain", chain), ("skip", skip)):
                     for i, j in part:
                         k = (name, int(max(found[i][2], 0) == max(found[j][2], 0)), "")
                         rows[k] = rows.get(k, 0) + 1

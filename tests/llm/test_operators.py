@@ -121,6 +121,23 @@ def test_skip_edges_join_distant_repeats(spark):
     assert out[0].base_sha256 == sha("phone:5:22") and out[99].base_sha256 == out[100].base_sha256 == sha("") and out[99].spans == ""
 
 
+@pytest.mark.parametrize("repeats", [1, 3, 100])
+def test_every_repeat_of_a_base_span_is_added(repeats):
+    text = "call +1 (555) 123-4567 now" + (" word" * 20 + " again 15551234567 please") * repeats
+    even = pii.SkipChain(np.zeros((pii.FEATURES, pii.LABELS)), 0.0, 4.0)
+    base, added = even.spans(text)
+    assert base == [(3, 5, 22)] and len(added) == repeats and {(k, text[a:b]) for k, a, b in added} == {(3, "15551234567")}
+    assert even.spans("again 15551234567 please " * repeats) == ([], [])
+
+
+def test_spokes_stand_for_the_pair_weight():
+    for weight in (0.0, 0.7, 4.0):
+        unary = np.random.default_rng(5).normal(size=(2, pii.LABELS))
+        pair = pii.propagate(unary, np.array([[0, 1]]), np.array([weight]))
+        star = pii.propagate(np.concatenate([unary, np.zeros((1, pii.LABELS))]), np.array([[0, 2], [1, 2]]), np.array([pii.spoke(weight)] * 2))
+        assert np.allclose(pair, star[:2], atol=1e-3)
+
+
 def test_loopy_marginals_match_enumeration():
     draw = np.random.default_rng(4)
     unary = draw.normal(size=(3, pii.LABELS))
