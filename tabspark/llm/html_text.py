@@ -1,13 +1,16 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped into lines, one for each block element. Lines inside containers that are never main text (navigation,
-page header and footer, asides, forms, adverts, notices, comments of readers, marked by tag, role, class or id) have weight 0;
-if the page marks its article, so do the lines outside of it. The weights are summed over windows of WINDOW lines. A text
-region begins at a surge, where the sum rises from 0 to the surge weight, and ends at the dive, where it falls back to 0; the
-lines of all regions are the main text.
-
-Edge cases: null or empty html gives an empty text; so does a page without any text line. Unclosed tags, comments and scripts
-reach to the end of the page. Character references are decoded, white space inside a line becomes one space. Pages of any
+Markup is stripped into lines, one for each block element; blocks that this leaves empty and blank lines of the source stay as
+empty lines. A line weighs its characters outside of links (a heading all of them). Lines inside containers that are never main
+text (navigation, page header and footer, asides, forms, adverts, notices, comments of readers, named by tag or by a whole role,
+class or id) have weight 0; if the page marks its article, so do the lines outside of it. The weights are summed over windows of
+WINDOW lines. A text region begins where the sum rises from 0 and ends at the dive, where it falls back to 0. Regions with a
+surge, a window of at least SURGE characters, are main text. Of the others the lines that stand in the same container as the
+heavy lines of such a region are, and all of them in a marked article: a short part of the article between dives stays. So do
+fewer than WINDOW lines of nothing but links there; longer runs of them only beside the heavy lines of a marked article.
+
+Edge cases: null or empty html gives an empty text; so does a page without any text line. On a page whose only text is links,
+links weigh like other text. Unclosed tags, comments and scripts reach to the end of the page. Character references are decoded, white space inside a line becomes one space. Pages of any
 length are read whole. Repeated rows get equal results; all other columns pass unchanged.
 """
 
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 WINDOW = 3
-SURGE = 80  # characters that a window needs to begin a region on a page without a marked article
+SURGE = 80  # characters that a window of a main region needs on a page without a marked article, if any window has them
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>?", re.S)
 _MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -34,6 +38,9 @@ _INLINE = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NEVER = frozenset("nav footer aside form button menu dialog head".split())
 _MAIN = frozenset(("article", "main"))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that hold text of the container around them and are none themselves.
+_PARTS = _HEADINGS | frozenset("p li ul ol dl dt dd blockquote pre center figure figcaption section table caption thead tbody tfoot tr td th".split())
 #: Words of class, id and role values that mark a container which is not main text.
 _MARKED = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adbox adslot banner banners sponsor sponsored sponsors promo promos promotion "
@@ -41,45 +48,83 @@ _MARKED = frozenset(
     "comment comments commentlist reply replies disqus notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription "
     "signup login share sharing social related recommended widget widgets search skip complementary contentinfo".split()
 )
+#: Words that only say where or how a container stands: a name of these and at least one of _MARKED is marked too.
+_PLACING = frozenset("site left right top bottom box container wrapper wrap list bar item items area block inner outer link links posts buttons icons form".split())
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_HREF = re.compile(r"(?<![^\s\"'])href\s*=", re.I)
 
 
 def marked(attributes: str) -> bool:
-    """Whether class, id or role names a container that is not main text."""
+    """Whether a class, id or role as a whole names a container that is not main text: cookie-notice does, has-sidebar does not."""
     if not attributes or "=" not in attributes:
         return False
-    values = (a or b or c for a, b, c in _MARK.findall(attributes))
-    return any(word.lower() in _MARKED for v in values for word in _SPLIT.split(v))
+    for a, b, c in _MARK.findall(attributes):
+        for name in (a or b or c).split():
+            words = {w.lower() for w in _SPLIT.split(name) if w and not w.isdigit()}
+            if words & _MARKED and words <= _MARKED | _PLACING:
+                return True
+    return False
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, stands in a container that is never main text, stands in a marked article) for each line with text."""
-    out: list[tuple[str, bool, bool]] = []
+class Line(NamedTuple):
+    text: str
+    never: bool = False  # stands in a container that is never main text
+    main: bool = False  # stands in a marked article
+    weight: int = 0  # characters outside of links
+    home: int = 0  # number of the container around it
+
+
+def plain(parts: list[str]) -> str:
+    return " ".join(html.unescape("".join(parts)).split())
+
+
+def lines_of(page: str) -> list[Line]:
+    """The lines of a page; of empty lines next to each other at most WINDOW."""
+    out: list[Line] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
+    outside: list[str] = []  # the parts that are not in a link
+    stack: list[tuple[str, bool, bool, int]] = []
     open_names: dict[str, int] = {}
-    never = main = at = 0
+    never = main = at = homes = blank = 0
+    link = -1  # depth of the stack at which a link was opened
+
+    def add(raw: str) -> None:
+        parts.append(raw)
+        outside.append(raw if link < 0 else " ")
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(parts)).split())
-        parts.clear()
+        nonlocal blank
+        text = plain(parts)
         if text:
-            out.append((text, never > 0, main > 0))
+            weight = len(text)
+            if outside != parts and not (stack and stack[-1][0] in _HEADINGS):
+                rest = plain(outside)
+                weight = len(rest) if any(c.isalnum() for c in rest) else 0
+            out.append(Line(text, never > 0, main > 0, weight, stack[-1][3] if stack else 0))
+            blank = 0
+        else:
+            more = min(max(1, "".join(parts).count("\n")), WINDOW - blank)
+            out.extend([Line("")] * more)
+            blank += more
+        parts.clear()
+        outside.clear()
 
     def pop() -> str:
-        nonlocal never, main
-        name, is_never, is_main = stack.pop()
+        nonlocal never, main, link
+        name, is_never, is_main, _ = stack.pop()
         open_names[name] -= 1
         never -= is_never
         main -= is_main
+        if len(stack) < link:
+            link = -1
         return name
 
     while at < len(page):
         m = _TAG.search(page, at)
         if not m:
-            parts.append(page[at:])
+            add(page[at:])
             break
-        parts.append(page[at : m.start()])
+        add(page[at : m.start()])
         at = m.end()
         name = (m.group(2) or "").lower()
         if not name:
@@ -87,11 +132,13 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         if name in _RAW and not m.group(1):
             end = _RAW_END[name].search(page, at)
             at = end.end() if end else len(page)
-            parts.append(" ")
+            add(" ")
             continue
         if name == "br":
-            parts.append(" ")
+            add(" ")
             continue
+        if name == "a":
+            link = len(stack) if not m.group(1) and _HREF.search(m.group(3) or "") else -1
         block = name not in _INLINE
         if block:
             flush()
@@ -109,7 +156,12 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
             pop()
         is_never = name in _NEVER or (name == "header" and main == 0) or (name not in ("html", "body", *_MAIN) and marked(m.group(3)))
         if block or is_never or open_names.get(name, 0):
-            stack.append((name, is_never, name in _MAIN))
+            if block and name not in _PARTS:
+                homes += 1
+                home = homes
+            else:
+                home = stack[-1][3] if stack else 0
+            stack.append((name, is_never, name in _MAIN, home))
             open_names[name] = open_names.get(name, 0) + 1
             never += is_never
             main += name in _MAIN
@@ -122,21 +174,36 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = lines_of(page)
-    has_main = any(m and not n for _, n, m in found)
-    weight = [0 if n or (has_main and not m) else len(t) for t, n, m in found]
-    need = 1 if has_main else min(SURGE, max([sum(weight[i : i + WINDOW]) for i in range(len(weight))], default=0))
-    kept, begin, heavy = [], None, False
-    for i in range(len(weight) + 1):
-        block = sum(weight[i : i + WINDOW])
+    has_main = any(x.main and not x.never for x in found)
+    open_ = [bool(x.text) and not x.never and (x.main or not has_main) for x in found]
+    weight = [x.weight if o else 0 for x, o in zip(found, open_)]
+    if not any(weight):
+        weight = [len(x.text) if o else 0 for x, o in zip(found, open_)]
+    blocks = [sum(weight[i : i + WINDOW]) for i in range(len(weight) + 1)]
+    need = max(1, min(SURGE, max(blocks)))
+    kept = [False] * len(found)
+    regions, begin = [], None
+    for i, block in enumerate(blocks):
         if block and begin is None:
             begin = i
-        if begin is not None:
-            heavy |= 0 < need <= block
-            if not block:  # the dive
-                if heavy:
-                    kept += [found[j][0] for j in range(begin, i) if weight[j]]
-                begin, heavy = None, False
-    return "\n".join(kept)
+        if begin is not None and not block:  # the dive
+            at = [j for j in range(begin, i) if weight[j]]
+            regions.append((max(blocks[begin:i]) >= need, at[0], at[-1] + 1))
+            begin = None
+    homes = {found[j].home for heavy, a, b in regions if heavy for j in range(a, b) if weight[j] * WINDOW >= need}
+    for heavy, a, b in regions:
+        for j in range(a, b):
+            kept[j] = open_[j] and (heavy or has_main or found[j].home in homes)
+    run: list[int] = []  # lines of nothing but links since the last line with weight
+    for j in range(len(found) + 1):
+        if j < len(found) and not weight[j]:
+            run += [j] if open_[j] else []
+            continue
+        for k in run:
+            beside = found[k].home in homes
+            kept[k] = (beside or has_main) if len(run) < WINDOW else (beside and has_main)
+        run = []
+    return "\n".join(x.text for x, k in zip(found, kept) if k)
 
 
 def extract_text(pages: DataFrame, page: str = "html", into: str = "text") -> DataFrame:

@@ -333,6 +333,22 @@ def test_main_text():
     html_text.main_text("<" * 50_000 + "<a" * 50_000 + "<!--" * 20_000)
 
 
+def test_main_text_by_density():
+    part = "Many words of the article stand in this line and in no link at all, so that it weighs enough."
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Place {i}</a></li>" for i in range(5)) + "</ul>"
+    page = f"""<body><div class=links>{links}</div>
+    <div class='content has-sidebar'><h1><a href=/>Title</a></h1><p>{part}</p><p><a href=/x>whole link</a></p><p>{part}</p>
+    <div class=cookie-notice><p>a</p><p>b</p><p>c</p></div><p>The end.</p></div>
+    <div class=grid>{links}</div><table><tr><td><a href=/t>T</a> | <a href=/u>U</a></td></tr></table>
+
+    <div><div><p>Made by us</p></div></div></body>"""
+    assert html_text.main_text(page) == f"Title\n{part}\nwhole link\n{part}\nThe end."
+    article = f"<main><article><header class='entry-header'><h1>T</h1></header><p>{part}</p><div class=grid>{links}</div><section><p>End.</p></section></article></main>"
+    assert html_text.main_text(article) == f"T\n{part}\nEnd."
+    assert html_text.main_text(f"<article>{links}</article>").count("Place") == 5
+    assert html_text.marked("class=site-footer") and html_text.marked("id='Cookie_Notice'") and not html_text.marked("class='entry-header has-sidebar'")
+
+
 def test_pages_keep_their_columns(spark, small_dir):
     pages = spark.read.parquet(f"{small_dir}/pages.parquet").withColumn("lines", F.lit(1))
     out = html_text.extract_text(pages)
