@@ -1,8 +1,9 @@
 """URL verdicts: host and path rules, and for the rest naive Bayes over segmented host names and path words.
 
 Host labels such as `dailynewsfeed` are split into words by a unigram Viterbi search; the unigrams are the words of all page
-titles, at most VOCABULARY of them by count (a model size, so that what the tasks hold is bounded). Multinomial naive Bayes is
-counted over all rule-judged URLs, with tokens hashed into BUCKETS buckets, and scores the URLs without a rule.
+titles, of any length and number. They are counted as a table; the tasks hold only those that stand in some host, as no other can
+be a piece of one, and the number of all. Multinomial naive Bayes is counted over all rule-judged URLs, with tokens hashed into
+BUCKETS buckets, and scores the URLs without a rule.
 
 Edge cases: a null URL, or one without `://`, has empty host and path and no rule; the method judges it by the prior. Without
 any rule-judged URL the verdict is `allow`; so are ties. Repeated rows get equal results; all other columns pass unchanged.
@@ -21,10 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tabspark.llm.common import LOWER, UPPER
+from tabspark.llm.common import LOWER, UPPER, Scratch
 
-VOCABULARY = 50_000
-LONGEST_WORD = 24
 BUCKETS = 1 << 16
 VERDICTS = ("allow", "block")
 _WORD = re.compile(r"[^\W_]+")
@@ -49,10 +48,11 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 
 class Words:
-    """Unigram counts and the Viterbi split of a name into words."""
+    """Unigram counts and the Viterbi split of a name into words. total: of all words, if counts has not all of them."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = (sum(counts.values()) if total is None else total) + 1
+        self.lengths = sorted({len(w) for w in counts})
         self.cost = {w: math.log(total) - math.log(n) for w, n in counts.items()}
         self.total = math.log(total)
         self.seen: dict[str, tuple[str, ...]] = {}
@@ -64,12 +64,17 @@ class Words:
     def split(self, name: str) -> tuple[str, ...]:
         if name in self.seen:
             return self.seen[name]
-        best, back = [0.0], [0]
+        best, back, begin = [0.0], [0], 0
         for end in range(1, len(name) + 1):
-            options = []
-            for a in range(max(0, end - LONGEST_WORD), end):
-                known = self.cost.get(name[a:end])
-                options.append((best[a] + (self.unknown(end - a) if known is None else known), a))
+            # A further letter costs every unknown word the same: the best start of one stays the best, but for a new one.
+            c, begin = min((best[a] + self.unknown(end - a), a) for a in (begin, end - 1))
+            options = [(c, begin)]
+            for length in self.lengths:
+                if length > end:
+                    break
+                known = self.cost.get(name[end - length : end])
+                if known is not None:
+                    options.append((best[end - length] + known, end - length))
             c, a = min(options)
             best.append(c)
             back.append(a)
@@ -103,12 +108,20 @@ class UrlModel:
         return self.prior + float(self.weight[[bucket(t) for t in self.words.tokens(host, path)]].sum())
 
 
-def title_words(pages: DataFrame, page: str = "html") -> Words:
-    """Words of all page titles; the VOCABULARY most frequent ones, ties by the word."""
+def title_words(pages: DataFrame, page: str = "html", url: str = "url") -> Words:
+    """Counts of the words of all page titles; the driver gets those that are part of a host, and the sum over all."""
     title = F.lower(F.regexp_extract(F.coalesce(F.col(page), F.lit("")), r"(?is)<title[^>]*>([^<]*)", 1))
     words = pages.select(F.explode(F.regexp_extract_all(title, F.lit(r"[\p{L}]+"), F.lit(0))).alias("w"))
-    top = words.where(F.length("w") <= LONGEST_WORD).groupBy("w").count().orderBy(F.desc("count"), "w").limit(VOCABULARY)
-    return Words({r.w: r["count"] for r in top.collect()})
+    scratch = Scratch(pages.sparkSession, "title-words")
+    counts = scratch.keep(words.groupBy("w").agg(F.count("*").alias("n")))
+    total, longest = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max(F.length("w")), F.lit(0))).first()
+    runs = pages.select(host_and_path(F.col(url))[0].alias("h")).distinct().select(F.explode(F.regexp_extract_all("h", F.lit(r"[\p{L}]+"), F.lit(0))).alias("r"))
+    tails = F.transform(F.sequence(F.lit(1), F.length("r")), lambda i: F.substr(F.col("r"), i, F.lit(longest)))
+    tails = runs.where("r <> ''").distinct().select(F.explode(tails).alias("t")).where("t <> ''").distinct()
+    pieces = tails.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("t")), lambda k: F.substr(F.col("t"), F.lit(1), k))).alias("w")).distinct()
+    found = Words({r.w: r.n for r in counts.join(pieces, "w", "left_semi").collect()}, total)
+    scratch.drop(counts)
+    return found
 
 
 def train(judged: DataFrame, words: Words) -> UrlModel:

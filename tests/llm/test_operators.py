@@ -239,6 +239,19 @@ def test_segmentation_takes_the_likeliest_split():
     assert words.split("thetrain") == ("the", "train")
 
 
+def test_no_title_word_is_dropped(spark):
+    draw = random.Random(7)
+    common = {"".join(draw.choice("bcdfgh") for _ in range(8)) for _ in range(52_000)}
+    long = "verylongwordofthirtyletters" * 2
+    rows = [(1, "http://quietlake.net/es/1", f"<title>{' '.join([*common, *common])}</title>"), (2, f"http://{long}quiet.net", f"<title>Quiet lake {long}</title>")]
+    pages = spark.createDataFrame([*rows, (3, None, None)], "page_id long, url string, html string")
+    words = url_filter.title_words(pages)
+    assert len(common) > 50_000 and words.total == pytest.approx(np.log(2 * len(common) + 4))
+    assert words.split("quietlake") == ("quiet", "lake") and words.split(long + "quiet") == (long, "quiet")
+    assert set(words.cost) == {"quiet", "lake", long}
+    assert words.split("x" * 200) == ("x" * 200,)
+
+
 def test_url_verdicts_learn_from_rules(spark):
     rows = [(i, f"http://{h}.net/{p}/{i}", "<title>good bad shop news</title>") for i, (h, p) in enumerate([("goodnews", "es"), ("badshop", "fr")] * 5)]
     rows += [(20, "http://goodshop.com/en/1", None), (21, "http://goodnews.com/de/1", ""), (30, "http://badshop.org/fr/3", ""), (31, "http://goodnews.org/de/1", ""), (32, None, None)]
