@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from checks import learning
 from tabspark import spec
-from tabspark.operators.learn import HashedTrees, TunedTrees, batch_score, grid_points
+from tabspark.operators.learn import DEPTH_GRID, HashedTrees, TunedTrees, batch_score, grid_points
 from tabspark.operators.metrics import confusion
 from tabspark.operators.split import stratified_folds, stratified_split
 from tabspark.plans.answers import answer_job, evaluate_responses
@@ -16,6 +17,12 @@ def separable(spark, n=400):
     return stratified_split(df, "id", "target")
 
 
+def test_the_evaluation_check_chooses_from_the_whole_grid(monkeypatch):
+    monkeypatch.setattr(learning, "days", lambda s, d: None)
+    monkeypatch.setattr(learning, "judged", lambda table, model: model)
+    assert learning.QUERIES["q_evaluate"](None, None).points == grid_points(DEPTH_GRID)
+
+
 def test_tuned_trees(spark):
     table = separable(spark)
     model = TunedTrees(["a", "b"], "target", {"maxDepth": [1, 2], "stepSize": [0.1]}, maxIter=2)
