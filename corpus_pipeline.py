@@ -18,8 +18,10 @@ SURE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the rows with a language that are not held out; rejects `und` and unsure texts."""
+    """Learns from the rows with a language that are not held out; rejects `und` and unsure texts. With nothing to learn from all pass."""
     model = langid.train(docs.where(~langid.held_out()))
+    if not model.languages:
+        return docs
     judged = langid.identify(docs, model, into="__language")
     return judged.where((F.col("__language.lang_pred") != langid.UNKNOWN) & (F.col("__language.score") >= SURE)).select(*docs.columns)
 

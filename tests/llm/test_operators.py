@@ -512,6 +512,12 @@ def test_all_null_texts(spark):
     assert line_dedup.dedup_lines(nothing).where("lines.n_lines = 0 AND lines.kept IS NULL").count() == 5
 
 
+def test_all_texts_pass_when_no_language_is_known(spark, docs):
+    unknown = docs.withColumn("lang", F.lit(None).cast("string"))
+    out = corpus_pipeline.language(spark, unknown, "")
+    assert out.columns == unknown.columns and Counter(map(tuple, out.collect())) == Counter(map(tuple, unknown.collect()))
+
+
 def test_pipeline_equals_brute_force(spark, docs, tmp_path):
     """Stage by stage on the difficult rows: each stage's output is held against plain Python over its own input."""
     folder = str(tmp_path / "sf")
