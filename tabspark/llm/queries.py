@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabspark.llm import decontaminate, html_text, langid, line_dedup, near_dedup, nearest, pieces, pii, suffix_dedup, url_filter
+from tabspark.llm import alignment, decontaminate, html_text, langid, line_dedup, near_dedup, nearest, packing, pieces, pii, ranked, suffix_dedup, url_filter
 from tabspark.llm.common import LOWER, UPPER, ship
 
 QUERIES, SQL = {}, {}
@@ -18,7 +18,7 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-QUERY_STEP, NEIGHBOURS = 20, 20
+QUERY_STEP, NEIGHBOURS, FOUND = 20, 20, 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_model_path() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return pii.find_pii(docs, pii.fit(docs)).select("doc_id", "pii.*")
@@ -80,9 +84,22 @@ def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", "held_out", "language.lang_pred", "language.score")
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"), byte_model_path(), model_path())
+
+
+def op12_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), FOUND)
+
+
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), byte_model_path())
+
+
 for _query in (
     op1_pii, op2_suffix_dedup, op3_decontaminate, op4_url_filter, op5_near_dedup,
     op6_html_text, op7_line_dedup, op8_nearest, op9_pieces, op10_langid,
+    op11_alignment, op12_ranked, op13_packing,
 ):
     QUERIES[_query.__name__] = _query
 
@@ -155,3 +172,15 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(generate
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {QUERY_STEP} = 0)
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s) q WHERE place <= {NEIGHBOURS}"""
+
+SQL["op12_ranked"] = f"""WITH d AS (SELECT doc_id, {_words(ranked.BETWEEN)} AS words FROM documents),
+docs AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n FROM d WHERE len(words) > 0),
+total AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(n) AS BIGINT) AS l FROM docs),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_words(ranked.BETWEEN)}) AS t FROM benchmark) x GROUP BY ALL),
+p AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(words) AS t FROM d) x WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * total.n + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, total GROUP BY t, total.n),
+m AS (SELECT doc_id, {ranked.BASE} + ({ranked.SLOPE} * docs.n * total.n) // l AS m FROM docs, total),
+s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + {ranked.SATURATION} * m))) AS BIGINT) AS score
+  FROM q JOIN p ON q.t = p.t JOIN w ON q.t = w.t JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM s WHERE score > 0) x WHERE place <= {FOUND}"""
