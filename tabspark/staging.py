@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,29 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable by Python workers wherever they run: once per application, as a zip in the shared folder."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    package = os.path.dirname(os.path.abspath(__file__))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    place, files = _file_system(spark, f"{shared_dir(spark)}/{os.path.basename(package)}-{uuid.uuid4().hex}.zip")
+    stream = files.create(place)
+    stream.write(bytearray(held.getvalue()))
+    stream.close()
+    context.addPyFile(files.makeQualified(place).toString())
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Give Spark ML a checkpoint folder unless one is set already."""
     if spark.sparkContext.getCheckpointDir() is None:

@@ -13,8 +13,8 @@ def con(small_dir):
     return duck(small_dir)
 
 
-#: Thousands of trees each; run them with RUN_SLOW=1 or tests/oracle.py.
-SLOW = {"q_gbt_cv", "q_gbt_cv2", "q_benchmark"}
+#: Four fits of 200 trees, level by level; run it with RUN_SLOW=1 or tests/oracle.py.
+SLOW = {"q_benchmark"}
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
