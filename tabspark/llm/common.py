@@ -2,46 +2,18 @@
 
 from __future__ import annotations
 
-import io
-import os
 import uuid
-import zipfile
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from tabspark.staging import shared_dir
+from tabspark.staging import shared_dir, ship  # noqa: F401
 
 #: Code points of A-Z and a-z, for lower-casing that leaves every other letter alone.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable by Python workers wherever they run: once per application, as a zip in the shared folder."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    _SHIPPED.add(context.applicationId)
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w") as out:
-        for folder, _, names in os.walk(package):
-            for name in sorted(n for n in names if n.endswith(".py")):
-                path = os.path.join(folder, name)
-                out.write(path, os.path.relpath(path, os.path.dirname(package)))
-    path = f"{shared_dir(spark)}/{os.path.basename(package)}-{uuid.uuid4().hex}.zip"
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(context._jsc.hadoopConfiguration())
-    stream = files.create(place)
-    stream.write(bytearray(held.getvalue()))
-    stream.close()
-    context.addPyFile(files.makeQualified(place).toString())
-
-
 class Scratch:
     """Tables written below spark.checkpoint.dir by one call, so that a lost executor costs no recomputation.
 
