@@ -21,6 +21,7 @@ equal results and count each. Of other columns nothing is read. In an empty tabl
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from bisect import bisect_left
 from itertools import accumulate, chain
@@ -35,7 +36,7 @@ from tabspark.llm.byte_tokens import LONG, ByteTokens, Grown, in_groups, marked_
 from tabspark.llm.common import Scratch
 from tabspark.llm.pieces import MARK
 
-MAX_WORDS = 600_000
+MAX_WORDS = 900_000
 PART_PAIRS = 1_000_000
 #: Occurrences looked at before they are added up.
 COUNTED = 2_000_000
@@ -50,21 +51,25 @@ def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
         y, x = common_ends(b, a)
         return x, y
     x, y, at, n = [], [], 0, len(b)
+    put_x, put_y = x.append, y.append
     for i, end in enumerate(a):
         if at == n:
             break
-        if b[at] < end:
+        value = b[at]
+        if value < end:
             step, low = 1, at
             while at < n and b[at] < end:
                 low = at + 1
                 at += step
                 step *= 2
-            at = bisect_left(b, end, low, min(at, n))
+            if low != at:
+                at = bisect_left(b, end, low, min(at, n))
             if at == n:
                 break
-        if b[at] == end:
-            x.append(i)
-            y.append(at)
+            value = b[at]
+        if value == end:
+            put_x(i)
+            put_y(at)
             at += 1
     return x, y
 
@@ -95,51 +100,54 @@ class AlignedWords:
         self.version += 1
         self.rows: dict[str, int] = {}
         self.groups: list[str | None] = []  # None where the bytes differ
-        self.pairs: dict[tuple[int, int], str] = {}
         self.long = False
         self.n_a, self.n_b, self.n_groups, self.n_links = (Grown(np.int64) for _ in range(4))
         self.first_link, self.links = Grown(np.int64), Grown(np.int64)
 
+    def _segment_b(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of B, one after another, and the number of each word's."""
+        lists = [x if w else [self.b.piece_to_id(MARK)] for w, x in zip(words, self.b.encode(words, num_threads=1))] if words else []
+        return np.array(list(chain.from_iterable(lists)), np.int64), np.array([len(x) for x in lists], np.int64)
+
+    def _align_apart(self, words: list[str], b_ids: np.ndarray, n_b: np.ndarray):
+        """align() where some words' bytes differ: these have no tokens."""
+        own = np.split(b_ids, np.cumsum(n_b)[:-1])
+        good = [i for i, w in enumerate(words) if b"".join([self.b_token[k] for k in own[i].tolist()]) == b" " + w.encode()]
+        text, *counts, links = self.align([words[i] for i in good])
+        out: list[str | None] = [None] * len(words)
+        wide = [np.zeros(len(words), np.int64) for _ in counts]
+        for at, i in enumerate(good):
+            out[i] = text[at]
+        for w, c in zip(wide, counts):
+            w[good] = c
+        return out, *wide, links
+
     def align(self, words: list[str]) -> tuple[list[str | None], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each word (the space before it left out): groups as text, numbers of tokens, groups and links; and all links."""
         a_ids, n_a = self.a.segment([" " + w for w in words])
-        b_lists = self.b.encode(words, num_threads=1) if words else []
-        b_lists = [x if w else [self.b.piece_to_id(MARK)] for w, x in zip(words, b_lists)]
+        b_ids, n_b = self._segment_b(words)
         # What the bytes of B do not give back takes no part.
-        token = self.b_token.__getitem__
-        if b"".join(map(token, chain.from_iterable(b_lists))) != "".join([" " + w for w in words]).encode():
-            same = [b"".join(map(token, x)) == b" " + w.encode() for w, x in zip(words, b_lists)]
-        else:
-            same = []
-        if not all(same):
-            good = [i for i, s in enumerate(same) if s]
-            text, *counts, links = self.align([words[i] for i in good])
-            out: list[str | None] = [None] * len(words)
-            wide = [np.zeros(len(words), np.int64) for _ in counts]
-            for at, i in enumerate(good):
-                out[i] = text[at]
-            for w, c in zip(wide, counts):
-                w[good] = c
-            return out, *wide, links
-        n_b = np.array([len(x) for x in b_lists], np.int64)
-        b_ids = np.array(list(chain.from_iterable(b_lists)), np.int64)
+        if b"".join(map(self.b_token.__getitem__, b_ids.tolist())) != "".join([" " + w for w in words]).encode():
+            return self._align_apart(words, b_ids, n_b)
         a_ends, b_ends = np.cumsum(self.a.length[a_ids]), np.cumsum(self.b_length[b_ids])
         x, y = common_ends(a_ends.tolist(), b_ends.tolist())
         # Groups lie inside words: every word ends at a common offset.
         a_upto = np.cumsum(n_a)
-        last = np.searchsorted(np.array(x, np.int64), a_upto - 1)
-        n_groups = np.diff(last + 1, prepend=0)
-        shown, i, j = [], 0, 0
-        a_list, b_list, text_of = a_ids.tolist(), b_ids.tolist(), self.shown
-        for p, q in zip(x, y):
-            if p == i and q == j:
-                pair = (a_list[i], b_list[j])
-                if (one := self.pairs.get(pair)) is None:
-                    one = self.pairs[pair] = f"{pair[0]}|{pair[1]}"
-                shown.append(one)
-            else:
-                shown.append(",".join([text_of[k] for k in a_list[i : p + 1]]) + "|" + ",".join([text_of[k] for k in b_list[j : q + 1]]))
-            i, j = p + 1, q + 1
+        x, y = np.array(x, np.int64), np.array(y, np.int64)
+        n_groups = np.diff(np.searchsorted(x, a_upto - 1) + 1, prepend=0)
+        i, j = np.concatenate([[0], x[:-1] + 1]), np.concatenate([[0], y[:-1] + 1])
+        shown = np.empty(len(x), object)
+        # Most groups are one token of each; their texts are few.
+        single = np.flatnonzero((i == x) & (j == y)) if len(x) else x
+        pairs, place = np.unique((a_ids[x[single]].astype(np.int64) << A_BITS) | b_ids[y[single]], return_inverse=True)
+        low = (1 << A_BITS) - 1
+        shown[single] = np.array([f"{k >> A_BITS}|{k & low}" for k in pairs.tolist()], object)[place] if len(single) else []
+        text_of = self.shown
+        wide = np.setdiff1d(np.arange(len(x)), single, assume_unique=True)
+        a_list, b_list = a_ids.tolist(), b_ids.tolist()
+        for g, a0, a1, b0, b1 in zip(wide.tolist(), i[wide].tolist(), (x[wide] + 1).tolist(), j[wide].tolist(), (y[wide] + 1).tolist()):
+            shown[g] = ",".join([text_of[k] for k in a_list[a0:a1]]) + "|" + ",".join([text_of[k] for k in b_list[b0:b1]])
+        shown = shown.tolist()
         ends = list(accumulate(n_groups.tolist()))
         text = [";".join(shown[e - n : e]) if n > 1 else shown[e - 1] for e, n in zip(ends, n_groups.tolist())]
         first, many = overlaps(a_ends, b_ends) if len(a_ids) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -148,7 +156,11 @@ class AlignedWords:
         return text, n_a, n_b, n_groups, n_links, links
 
     def learn(self, new: list[str]) -> None:
-        text, n_a, n_b, n_groups, n_links, links = self.align(new)
+        gc.disable()  # nothing made here is cyclic, and there is much of it
+        try:
+            text, n_a, n_b, n_groups, n_links, links = self.align(new)
+        finally:
+            gc.enable()
         first = len(self.rows)
         self.rows.update(zip(new, range(first, first + len(new))))
         self.groups.extend(text)
