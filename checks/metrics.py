@@ -63,6 +63,22 @@ SELECT c.o_orderpriority, n, {_metric_rows(True)}, round(auc, 6) AS test_auc
 FROM c JOIN a ON a.o_orderpriority = c.o_orderpriority"""
 
 
+def missing_keys(s, d):
+    """Runs without a serialization, as those of models that read no texts, are runs like any other."""
+    rows = predicted(s, d).withColumn("serialization", F.when(F.col("o_orderpriority") > "3", F.col("o_orderpriority")))
+    out = M.binary_metrics(rows, "label", "pred", "prob", by=["serialization"])
+    return out.select("serialization", "n", *[r6(c) for c in spec.QUALITY_METRICS])
+
+
+QUERIES["q_missing_keys"] = missing_keys
+SQL["q_missing_keys"] = f"""WITH {PREDICTED_SQL},
+k AS (SELECT CASE WHEN o_orderpriority > '3' THEN o_orderpriority END AS serialization, label, prob, pred FROM pr),
+c AS (SELECT serialization, {I.counts_sql("label", "pred")} FROM k GROUP BY 1),
+a AS ({auc_sql("k", "serialization")})
+SELECT c.serialization, n, {_metric_rows(True)}, round(auc, 6) AS test_auc
+FROM c JOIN a ON a.serialization IS NOT DISTINCT FROM c.serialization"""
+
+
 def macro_f1(s, d):
     """Both variants; the third label occurs in the predictions only."""
     rows = predicted(s, d).withColumn("pred", F.when(F.col("prob") > 0.9, 2).otherwise(F.col("pred")))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabspark.operators.keys import same_key_join
 from tabspark.staging import in_ranges
 
 
@@ -89,7 +90,7 @@ def binary_metrics(
     missing = F.raise_error(F.concat(F.col("unscored").cast("string"), F.lit(" rows have no score"))).cast("double")
     auc = found.select(*by, F.when(F.col("unscored") > 0, missing).otherwise(F.col("auc")).alias(f"{prefix}auc"))
     if by:
-        return out.join(auc, list(by), "left")
+        return same_key_join(out, auc, by, "left")
     # Both sides are a single aggregate row.
     return out.withColumn("__one", F.lit(1)).join(auc.withColumn("__one", F.lit(1)), "__one", "left").drop("__one")
 
@@ -140,14 +141,13 @@ def roc_auc(df: DataFrame, truth: str, score: str, by: Sequence[str] = (), rows:
     upto_score = Window.partitionBy(*by, "__r").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("__n").over(upto_score), F.lit(0))
     wins = (
-        scored.withColumn("__below", below)
-        .join(lower, [*by, "__r"])
+        same_key_join(scored.withColumn("__below", below), lower, [*by, "__r"])
         .withColumn("__wins", F.col("__p") * (F.col("__lower") + F.col("__below") + F.col("__n") / 2.0))
     )
     pairs = F.sum("__p").cast("double") * F.sum("__n")
     area = wins.groupBy(*by).agg(F.when(pairs > 0, F.try_divide(F.sum("__wins"), pairs)).alias("auc"))
     if by:
-        return unscored.join(area, by, "left").select(*by, "auc", "unscored")
+        return same_key_join(unscored, area, by, "left").select(*by, "auc", "unscored")
     return unscored.withColumn("__one", F.lit(1)).join(area.withColumn("__one", F.lit(1)), "__one", "left").select("auc", "unscored")
 
 

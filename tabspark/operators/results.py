@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabspark import spec
 from tabspark.functions.cleaning import nan_to_null, to_numeric
 from tabspark.functions.display import total_time
+from tabspark.operators.keys import same_key_join
 from tabspark.staging import in_ranges
 
 
@@ -37,7 +38,7 @@ def carry_over(
     if order is None:
         old, order = old.withColumn("__order", F.monotonically_increasing_id()), "__order"
     old = keep_last(old.select(*keys, *cols, order), keys, order).drop(order)
-    return new.drop(*cols).join(old.select(*keys, *cols), list(keys), "left")
+    return same_key_join(new.drop(*cols), old.select(*keys, *cols), keys, "left").select(*keys, *[c for c in new.columns if c not in {*keys, *cols}], *cols)
 
 
 def union_align(frames: Sequence[DataFrame], texts: Sequence[str], numbers: Sequence[str]) -> DataFrame:

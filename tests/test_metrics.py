@@ -118,3 +118,19 @@ def test_missing_scores_are_reported(spark):
     assert tuple(M.roc_auc(df, "t", "s").first()) == (1.0, 1)
     with pytest.raises(Exception, match="have no score"):
         M.binary_metrics(df, "t", "p", "s").collect()
+
+
+def test_missing_keys_are_keys(spark):
+    from tabspark.operators.results import carry_over
+
+    rows = [("d", "m", None, 1, 0.9), ("d", "m", None, 0, 0.1), ("d", "n", "json", 1, 0.2), ("d", "n", "json", 0, 0.2)]
+    by = ["dataset", "model", "serialization"]
+    df = spark.createDataFrame(rows, "dataset string, model string, serialization string, y int, p double").withColumn("pred", (F.col("p") > 0.5).cast("int"))
+    found = {r["serialization"]: r["test_auc"] for r in M.binary_metrics(df, "y", "pred", "p", by=by).collect()}
+    assert found == {None: 1.0, "json": 0.5}
+    gap = df.withColumn("p", F.when(F.col("serialization").isNotNull(), F.col("p")))
+    with pytest.raises(Exception, match="rows have no score"):
+        M.binary_metrics(gap, "y", "pred", "p", by=by).collect()
+    old = spark.createDataFrame([("d", "m", None, 7.0)], "dataset string, model string, serialization string, t double")
+    new = df.select(*by).distinct().withColumn("t", F.lit(0.0))
+    assert {r["serialization"]: r["t"] for r in carry_over(new, old, ["t"], by).collect()} == {None: 7.0, "json": None}
