@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabspark import spec
 from tabspark.functions.answers import parse_answer
 from tabspark.functions.cleaning import expected_answer, is_correct
+from tabspark.operators.keys import same_key_join
 from tabspark.operators import metrics, responses, results
 from tabspark.operators.clean import SHOWN_VALUES
 from tabspark.operators.learn import batch_score
@@ -142,7 +143,8 @@ def run_answers(
     """Every run of the grid (dataset, model, serialization) that the log does not hold yet; returns the log's latest rows.
 
     make_answers(dataset, serialization, model) gives a run's answers. After each run its answers are below
-    {root}/answers and its result row is in {root}/log, so that an interrupted loop goes on where it stopped.
+    {root}/answers and its result row is in {root}/log, so that an interrupted loop goes on where it stopped. A stop between
+    the two repeats the run, whose answers then replace those already there. A row has all columns that rebuild_results carries.
     """
     log = f"{root.rstrip('/')}/log"
     done = {tuple(r) for r in read_run_log(spark, log).select(*BY).collect()} if path_exists(spark, log) else set()
@@ -151,10 +153,15 @@ def run_answers(
             continue
         started = perf_counter()
         answers = make_answers(run["dataset"], run["serialization"], run["model"])
-        meta = write_responses(answers, f"{root.rstrip('/')}/answers", 0, batch_size).drop("total_examples", "n_examples")
+        place = f"{root.rstrip('/')}/answers"
+        meta = write_responses(answers, place, 0, batch_size).drop("total_examples", "n_examples")
         seconds = perf_counter() - started
         mine = F.struct(*BY) == F.struct(*[F.lit(run[c]) for c in BY])
-        stored = spark.read.parquet(f"{root.rstrip('/')}/answers").where(mine)
-        row = evaluate_responses(stored, specs).join(F.broadcast(meta.where(mine)), BY)
-        append_run_log(row.withColumnRenamed("output_file", "raw_responses_file").withColumn("prediction_time_seconds", F.lit(seconds)), log)
+        stored = spark.read.schema(answers.schema).parquet(place).where(mine)
+        # A run without any answer has a row too, or it would be run again at every start.
+        row = same_key_join(spark.createDataFrame([tuple(run)], grid.select(*BY).schema), evaluate_responses(stored, specs), BY, "left")
+        row = same_key_join(row, meta.where(mine), BY, "left").withColumnRenamed("output_file", "raw_responses_file")
+        counted = F.coalesce("n_examples", F.lit(0).cast("bigint"))
+        extra = {"n_examples": counted, "total_examples": counted, "batch_size": F.lit(batch_size), "prediction_time_seconds": F.lit(seconds)}
+        append_run_log(row.withColumns(extra), log)
     return read_run_log(spark, log)
