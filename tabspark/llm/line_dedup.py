@@ -3,8 +3,8 @@
 Lines are compared with white space collapsed; blank lines take no part. The window at a line is the shortest run of lines from
 there that holds at least MIN_WORDS words; its fingerprint is the smallest line hash in it, so every repeated run of lines with
 that many words shares a fingerprint at its place in each copy. Fingerprints that occur at one place only are dropped. Around
-the others, matches are extended both ways: all windows over the fingerprint are joined by content to the first place of that
-content, so runs are as long as they can be and no pairs of copies are made. Lines of later places are deleted; the first place
+the others, all windows over the fingerprint are joined by content to the first place of that content, so no pairs of copies are
+made. Only windows that begin at a line are compared: up to MIN_WORDS - 1 words at the end of a repeated run can stay. Lines of later places are deleted; the first place
 (by key, then text hash, then line) stays.
 
 Edge cases: null and empty texts have no lines to delete and pass unchanged. Runs of fewer than MIN_WORDS words stay. A run that
