@@ -2,7 +2,8 @@
 
 Every unit (row key or group) gets the md5 text of 'key:seed'. A split is a cut of that hash order, so once the cut
 hash of a class is known each row decides for itself: no row is moved, ranked or sorted. Cuts are found by counting:
-units per class and leading hash digits, then only inside the digits that hold a cut, until the hash itself is known.
+units per class and leading hash digits, then only inside the digits that hold a cut, until the hash itself is known. Units
+that fit one task (RANGE_ROWS) are counted by whole hashes at once.
 Classes, counts and cuts stay tables, so their number has no limit. Copies of a key share a hash and stay on one side.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tabspark import spec
 from tabspark.functions.text import quoted
-from tabspark.staging import staged
+from tabspark.staging import RANGE_ROWS, staged
 
 HASH_DIGITS = 32
 #: Leading hash digits of the counting passes: the last one counts whole hashes.
@@ -42,36 +43,45 @@ def _class_sizes(units: DataFrame) -> DataFrame:
     return staged(units.groupBy("stratum", "c").agg(F.count("*").alias("n")))
 
 
-def _find_cuts(units: DataFrame, wanted: DataFrame) -> DataFrame:
-    """units (c, h); wanted (c, part, need); gives (c, part, cut).
+def _find_cuts(units: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """units (c, h), `rows` in number; wanted (c, part, need); gives (c, part, cut).
 
-    A cut is the smallest hash such that at least `need` units of the class have a hash up to it.
+    A cut is the smallest hash such that at least `need` units of the class have a hash up to it. A pass counts whole hashes as
+    soon as the units that share the digits of a cut are few enough for one task: for small tables the first pass does.
     """
     found = wanted.where("need > 0").select("c", "part", "need", F.lit("").alias("prefix"))
-    known = 0
-    for digits in PASSES:
+    known, few = 0, []
+    for planned in PASSES:
+        digits = planned if rows > RANGE_ROWS else HASH_DIGITS
         inside = units.withColumn("prefix", F.substring("h", 1, known))
         if known:
-            held = found.select("c", "prefix").distinct()
             # A few classes and parts: the filter is a list in the plan. Else both sides meet by class and digits.
-            few = held.limit(LITERAL_CUTS + 1).collect()
             if len(few) <= LITERAL_CUTS:
                 inside = inside.where(F.concat("prefix", "c").isin([r["prefix"] + r["c"] for r in few]))
             else:
-                inside = inside.join(held, ["c", "prefix"], "left_semi")
+                inside = inside.join(found.select("c", "prefix").distinct(), ["c", "prefix"], "left_semi")
         counted = inside.groupBy("c", "prefix", F.substring("h", 1, digits).alias("longer")).agg(F.count("*").alias("n"))
         upto = Window.partitionBy("c", "prefix").orderBy("longer").rowsBetween(Window.unboundedPreceding, 0)
         counted = counted.withColumn("upto", F.sum("n").over(upto))
-        reached = found.join(counted, ["c", "prefix"]).where("upto >= need")
-        first = F.min(F.struct("longer", (F.col("need") - F.col("upto") + F.col("n")).alias("need"))).alias("x")
-        found = staged(reached.groupBy("c", "part").agg(first).select("c", "part", "x.need", F.col("x.longer").alias("prefix")))
+        reached = found.drop("n").join(counted, ["c", "prefix"]).where("upto >= need")
+        first = F.min(F.struct("longer", (F.col("need") - F.col("upto") + F.col("n")).alias("need"), "n")).alias("x")
+        found = staged(reached.groupBy("c", "part").agg(first).select("c", "part", "x.need", F.col("x.longer").alias("prefix"), "x.n"))
         known = digits
+        if known == HASH_DIGITS:
+            break
+        held = found.select("c", "prefix", "n").distinct()
+        few = held.limit(LITERAL_CUTS + 1).collect()
+        rows = sum(r["n"] for r in few) if len(few) <= LITERAL_CUTS else held.agg(F.sum("n")).first()[0]
     return found.select("c", "part", F.col("prefix").alias("cut"))
 
 
-def test_sizes(sizes: DataFrame, frac: float) -> DataFrame:
+def _many(sizes: DataFrame) -> int:
+    return sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def test_sizes(sizes: DataFrame, frac: float, total: int | None = None) -> DataFrame:
     """(c, part, need): units per class in the test part, ceil(frac * n) in all, shared out by largest remainder."""
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total = _many(sizes) if total is None else total
     wanted = math.ceil(frac * total)
     exact = sizes.withColumn("exact", F.try_divide(F.col("n").cast("double"), F.lit(total)) * wanted)
     exact = exact.withColumn("base", F.floor("exact"))
@@ -122,7 +132,9 @@ def stratified_split(
     Action: reads the key and label columns a few times to find one cut hash per class.
     """
     units = df.select(*_units(quoted(label), quoted(key), seed))
-    cuts = _find_cuts(units, test_sizes(_class_sizes(units), frac))
+    sizes = _class_sizes(units)
+    total = _many(sizes)
+    cuts = _find_cuts(units, test_sizes(sizes, frac, total), total)
     marked = _count_passed(df, quoted(label), unit_hash(quoted(key), seed), cuts, "split", include=True)
     return marked.withColumn("split", F.when(F.col("split") > 0, "test").otherwise("train"))
 
@@ -132,7 +144,9 @@ def group_split(df: DataFrame, group: str, frac: float = spec.TEST_FRACTION, see
     # The groups are written once: counting them must not run the whole input again.
     groups = df.select(quoted(group).alias("g")).distinct()
     units = staged(groups.select(*_units(F.lit(0), F.col("g"), seed)))
-    cuts = _find_cuts(units, test_sizes(_class_sizes(units), frac))
+    sizes = _class_sizes(units)
+    total = _many(sizes)
+    cuts = _find_cuts(units, test_sizes(sizes, frac, total), total)
     marked = _count_passed(df, F.lit(0), unit_hash(quoted(group), seed), cuts, "split", include=True)
     return marked.withColumn("split", F.when(F.col("split") > 0, "test").otherwise("train"))
 
@@ -140,8 +154,9 @@ def group_split(df: DataFrame, group: str, frac: float = spec.TEST_FRACTION, see
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = spec.CV_FOLDS, seed: int = spec.SEED) -> DataFrame:
     """Add `fold` (0..k-1) with class shares kept in every fold."""
     units = df.select(*_units(quoted(label), quoted(key), seed))
-    needs = staged(fold_sizes(_class_sizes(units), k))
-    cuts = _find_cuts(units, needs)
+    sizes = _class_sizes(units)
+    needs = staged(fold_sizes(sizes, k))
+    cuts = _find_cuts(units, needs, _many(sizes))
     # Parts that end before the first unit have no cut: every row lies above them.
     empty = needs.where("need <= 0").select("c", "part", F.lit("").alias("cut"))
     return _count_passed(df, quoted(label), unit_hash(quoted(key), seed), cuts.union(empty), "fold", include=False)

@@ -118,3 +118,13 @@ def test_rows_decide_for_themselves(spark):
     """The finished split has no shuffle, join or window."""
     plan = S.stratified_split(keyed(spark, 1000), "id", "y")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("rows, literal", [(10, 1000), (10, 0), (200_000, 1000)])
+def test_cuts_are_the_same_in_one_pass_and_in_three(spark, monkeypatch, rows, literal):
+    df = spark.range(500).select("id", (F.col("id") % 3).cast("int").alias("label")).withColumn("label", F.when(F.col("label") < 2, F.col("label")))
+    want = {(r["id"], r["split"], r["fold"]) for r in S.stratified_folds(S.stratified_split(df, "id", "label"), "id", "label").collect()}
+    monkeypatch.setattr(S, "RANGE_ROWS", rows)
+    monkeypatch.setattr(S, "LITERAL_CUTS", literal)
+    got = {(r["id"], r["split"], r["fold"]) for r in S.stratified_folds(S.stratified_split(df, "id", "label"), "id", "label").collect()}
+    assert got == want and sum(s == "test" for _, s, _ in got) == 100
