@@ -186,3 +186,18 @@ def parsed(s, d):
 QUERIES["q_parse_answers"] = parsed
 SQL["q_parse_answers"] = f"""WITH {I.ANSWERS_SQL}
 SELECT doc_id, model, serialization, parsed_prediction AS label, parse_status AS status FROM ev"""
+
+
+def custom_texts(s, d):
+    """A style rendered by the caller's own function of the feature fields."""
+
+    def listed(features):
+        return F.concat_ws("; ", *[F.concat(F.lit(f"{f.name}="), F.coalesce(F.col(f.name).cast("string"), F.lit("?"))) for f in features if f.name != "bal"])
+
+    out = serialize_table(I.split_customers(s, d), I.CUSTOMER, styles=("llm",), keep=("c_custkey", "split"), custom={"llm": listed})
+    return out.select("c_custkey", "split", "serialized_llm", "target_col")
+
+
+QUERIES["q_custom_texts"] = custom_texts
+SQL["q_custom_texts"] = f"""WITH {SERIALIZED_SQL} SELECT c_custkey, split,
+  'seg=' || coalesce(seg, '?') || '; nation=' || nation || '; level=' || level AS serialized_llm, CASE target WHEN 1 THEN 'near' ELSE 'far' END AS target_col FROM named"""
