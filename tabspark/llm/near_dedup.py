@@ -8,11 +8,16 @@
 4. Every node gets a pivot, the node around it that meets most others (such as the text that copies were made from), and is
    compared with it on the whole sets. Links join components. Of the elements, the comparison leaves how many of the pivot's the
    node has lost, and which ones of its own it has.
-5. Only pairs of different components can still change a result. If two nodes have the same pivot, they are compared if they
-   share rare elements of their own, or if what both kept of the pivot would do; any other pair cannot reach the similarity. If
-   they meet in a bucket but have different pivots, they are compared. None is dropped.
+5. Only pairs of different components can still change a result. If two nodes have the same pivot, they may do so only if they
+   share rare elements of their own, or if what both kept of the pivot would do. What two sets share follows from what they
+   share of their differences from the pivot; a bit map of each difference bounds that from above, and pairs whose bound is too
+   low are left out (this is exact). In buckets with several components each node first meets one node of the bucket, the one
+   closest to its pivot; only those still apart meet each other.
+6. Pairs of 5 are compared on the whole sets if their signatures agree in enough slots: six standard deviations below what the
+   similarity leads to, so that a pair of the similarity fails with a probability of some 1e-8. No pair is dropped otherwise.
 
-Nothing is collected; hot buckets and hubs are split over tasks. Lookups of sets read a bucketed table, without a shuffle.
+Nothing is collected; hot buckets, hot elements and hubs are split over tasks. Lookups of sets read a bucketed table, without a
+shuffle. Words are hashed by polynomials modulo a prime under two bases.
 
 Edge cases: null and empty texts have no shingles and are linked with nothing; a text of fewer words than a shingle is one
 shingle. Rows with equal doc_id are judged by their own texts. A null doc_id never is a component's id unless it is alone in it.
@@ -21,13 +26,15 @@ shingle. Rows with equal doc_id are judged by their own texts. A null doc_id nev
 from __future__ import annotations
 
 import uuid
+from functools import lru_cache
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabspark.llm.common import ByteHash, Scratch, mix
+from tabspark.llm.common import Scratch, byte_values, mix
 from tabspark.llm.graph import components
 
 BANDS, ROWS = 32, 5
@@ -38,7 +45,38 @@ KEPT = 6
 SPLIT = 64
 #: Steps over shared buckets in which a node looks for its pivot.
 PIVOT_STEPS = 2
+#: Rows of one bucket, element or pivot that one task lets others meet.
+MEET = 1024
+#: Low bits of each slot kept for counting slots that agree, and longs for one bit of all slots.
+PLANES, LONGS = 4, -(-SLOTS // 64)
+#: Longs of the bit map of a difference.
+MAP = 16
+#: What is known of a node when two nodes meet.
+KNOWN = ("comp", "n", "lost", "differs", "bits", "planes")
 _CHUNK = 1 << 20
+#: Modulus and bases of the word hash (fixed values).
+PRIME = (1 << 31) - 1
+BASES = (0x2E1B7D35, 0x5A3C9F11)
+
+
+@lru_cache(maxsize=8)
+def prime_powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, dtype=np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), PRIME)) % np.uint64(PRIME)])
+    return out[:n]
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each byte range: its polynomial modulo PRIME under both bases, and its length."""
+    p, out = np.uint64(PRIME), (end - start).astype(np.uint64)
+    size = 1 << max(10, int(len(data)).bit_length())
+    values = byte_values()[data] % p
+    for base in BASES:
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(values * prime_powers(base, size)[: len(data)] % p, out=sums[1:])
+        out = mix(out) + (sums[end] - sums[start]) % p * prime_powers(pow(base, -1, PRIME), size)[start] % p
+    return mix(out)
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -57,7 +95,7 @@ def word_hashes(text: str) -> np.ndarray:
             last = len(part) - int(np.argmax(space[::-1]))
             part, space, end = part[:last], space[:last], at + last
         edge = np.diff(np.concatenate(([1], space.view(np.int8), [1])))
-        out.append(ByteHash(part).ranges(np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)))
+        out.append(range_hashes(part, np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)))
         at = end
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -103,6 +141,32 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return mix(total).view(np.int64)
 
 
+def bit_planes(signature: np.ndarray) -> np.ndarray:
+    """The low PLANES bits of every slot, bit by bit, in longs."""
+    bits = np.zeros((PLANES, 64 * LONGS), dtype=np.uint8)
+    bits[:, : len(signature)] = (signature[None, :] >> np.arange(PLANES, dtype=np.uint64)[:, None]) & np.uint64(1)
+    return np.packbits(bits, axis=1).reshape(-1).view(np.int64)
+
+
+def agreement() -> str:
+    """SQL: in how many slots the signatures of two nodes (planes, other_planes) may agree."""
+    parts = (" | ".join(f"(planes[{k * LONGS + i}] ^ other_planes[{k * LONGS + i}])" for k in range(PLANES)) for i in range(LONGS))
+    return f"{SLOTS} - " + " - ".join(f"bit_count({p})" for p in parts)
+
+
+def least_agreement(percent: int) -> int:
+    """Slots that agree for two sets of the similarity, but for a chance of some 1e-8."""
+    p = percent / 100 + (1 - percent / 100) / (1 << PLANES)
+    return int(SLOTS * p - 6 * sqrt(SLOTS * p * (1 - p)))
+
+
+def difference_map(lost: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Bit map of the elements in which a set differs from its hub."""
+    bits = np.zeros(64 * MAP, dtype=np.uint8)
+    bits[(mix(np.concatenate([lost << np.uint64(1), (own << np.uint64(1)) + np.uint64(1)]) + np.uint64(1)) % np.uint64(64 * MAP)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def node_of(x: np.ndarray) -> int:
     """Digest of a set: of the sum of its mixed elements and its size."""
     total = np.array([len(x)], dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + mix(x + np.uint64(1)).sum(dtype=np.uint64)
@@ -122,27 +186,27 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(doc_id, text_hash, n, node, bands) of each row; node and bands are null without shingles."""
+    """(doc_id, text_hash, n, node, bands, planes) of each row; the last three are null without shingles."""
 
     def run(batches):
         for batch in batches:
-            n, node, bands = [], [], []
+            n, node, bands, planes = [], [], [], []
             for value in batch.column(2).to_pylist():
                 x = shingle_set(value, size)
                 n.append(len(x))
                 node.append(node_of(x) if len(x) else None)
-                bands.append(band_keys(super_min_hash(x)) if len(x) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "text_hash", "n", "node", "bands"],
-            )
+                signature = super_min_hash(x) if len(x) else None
+                bands.append(band_keys(signature) if len(x) else None)
+                planes.append(bit_planes(signature) if len(x) else None)
+            longs = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(planes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *longs], ["doc_id", "text_hash", "n", "node", "bands", "planes"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n long, node long, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n long, node long, bands array<long>, planes array<long>")
 
 
-def stored_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int, table: str) -> DataFrame:
+def stored_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int, table: str, path: str) -> DataFrame:
     """Sets of the wanted rows (doc_id, text_hash, node) as a table bucketed by node, so that lookups by node do not shuffle it."""
 
     def run(batches):
@@ -164,15 +228,15 @@ def stored_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: i
     joined = rows.join(wanted, (F.col("text_hash") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "text")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = joined.mapInArrow(run, "node long, n long, blob binary").repartition(buckets, "node").dropDuplicates(["node"])
-    sets.write.bucketBy(buckets, "node").sortBy("node").option("compression", "zstd").saveAsTable(table)
+    sets.write.bucketBy(buckets, "node").sortBy("node").option("compression", "zstd").option("path", path).saveAsTable(table)
     return spark.table(table)
 
 
 def compare(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, difference: bool = False) -> DataFrame:
     """The pairs (node, hub) whose sets reach the similarity; with difference, all pairs with what tells the node from the hub.
 
-    Then there are also `linked`, hub_n (size of the hub's set), lost (how many of its elements the node lacks) and own (the
-    node's elements that the hub lacks). Members meet a copy of their hub's set in slices of about SPLIT members, and pass one
+    Then there are also `linked`, hub_n (size of the hub's set), lost (how many of its elements the node lacks), own (the
+    node's elements that the hub lacks) and bits (the map of both). Members meet a copy of their hub's set in slices of about SPLIT members, and pass one
     by one through the task.
     """
 
@@ -188,8 +252,8 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, d
                     common = len(np.intersect1d(x, hub_set, assume_unique=True))
                     linked = 100 * common >= percent * (len(x) + len(hub_set) - common)
                     if difference:
-                        own = np.setdiff1d(x, hub_set, assume_unique=True).astype(np.int64)
-                        out.append((m, h, linked, len(hub_set), len(hub_set) - common, own))
+                        own, gone = np.setdiff1d(x, hub_set, assume_unique=True), np.setdiff1d(hub_set, x, assume_unique=True)
+                        out.append((m, h, linked, len(hub_set), len(gone), own.astype(np.int64), difference_map(gone, own)))
                     elif linked:
                         out.append((m, h))
             columns = list(zip(*out)) if out else [[]] * len(kinds)
@@ -198,8 +262,8 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, d
     kinds = {"node": pa.int64(), "hub": pa.int64()}
     schema = "node long, hub long"
     if difference:
-        kinds |= {"linked": pa.bool_(), "hub_n": pa.int64(), "lost": pa.int64(), "own": pa.list_(pa.int64())}
-        schema += ", linked boolean, hub_n long, lost long, own array<long>"
+        kinds |= {"linked": pa.bool_(), "hub_n": pa.int64(), "lost": pa.int64(), "own": pa.list_(pa.int64()), "bits": pa.list_(pa.int64())}
+        schema += ", linked boolean, hub_n long, lost long, own array<long>, bits array<long>"
     counts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SPLIT).alias("parts"))
     parted = pairs.join(counts, "hub").select("node", "hub", F.pmod(F.xxhash64("node", "hub"), "parts").alias("part"))
     members = parted.join(sets, "node").select("hub", "part", F.col("node").alias("member"), "blob")
@@ -224,7 +288,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     scratch = Scratch(spark, "near-dedup")
     rows = scratch.keep(sketch(docs, key, text, size))
     classes = scratch.keep(
-        rows.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash", "bands")).alias("r"))
+        rows.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash", "bands", "planes")).alias("r"))
     )
     members = classes.select("node", F.explode("r.bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
@@ -232,8 +296,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("r.doc_id", "r.text_hash", "node")
     table = f"near_dedup_sets_{uuid.uuid4().hex}"
     try:
-        sets = stored_sets(docs, wanted, key, text, size, table)
-        labels = _link(buckets, sets, percent, scratch)
+        sets = stored_sets(docs, wanted, key, text, size, table, f"{scratch.root}/sets")
+        labels = _link(buckets, sets, classes.select("node", "r.planes"), percent, scratch)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
     grouped = classes.join(labels.select("node", "comp"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "first_id")
@@ -259,42 +323,73 @@ def pivots(buckets: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(best.select("node", F.col("p.node").alias("pivot")))
 
 
-def _link(buckets: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def meet(left: DataFrame, right: DataFrame, on: list[str], condition: str) -> DataFrame:
+    """Pairs (node, hub) of rows of both sides with equal `on` that fulfil the condition, each pair once, the smaller name first.
+
+    What is larger than MEET rows of the right side is dealt to several tasks, to each of which the left side goes.
+    """
+    parts = right.groupBy(*on).agg(F.ceil(F.count("*") / MEET).alias("parts"))
+    dealt = right.join(parts, on).withColumn("part", F.pmod(F.xxhash64("hub"), F.col("parts"))).drop("parts")
+    sent = left.join(parts, on).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    found = sent.join(dealt, [*on, "part"]).where(condition)
+    return found.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).distinct()
+
+
+def _link(buckets: DataFrame, sets: DataFrame, planes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(node, comp) of all nodes of the buckets."""
     share = f"{percent / (100 + percent)!r}"
     labels = scratch.keep(sets.select("node", F.col("node").alias("comp"), "n").join(pivots(buckets, scratch), "node"))
     to_pivot = compare(labels.where("node <> pivot").select("node", F.col("pivot").alias("hub")), sets, percent, scratch, difference=True)
     labels = relabel(labels, to_pivot.where("linked").select("node", "hub"), scratch)
     # Every node next to its pivot; the pivot itself differs in nothing.
-    nothing = F.array().cast("array<long>")
+    nothing, blank = F.array().cast("array<long>"), F.array_repeat(F.lit(0).cast("long"), MAP)
     near = labels.join(to_pivot.drop("hub"), "node", "left").withColumns(
-        {"linked": F.coalesce("linked", F.lit(True)), "hub_n": F.coalesce("hub_n", "n"), "lost": F.coalesce("lost", F.lit(0)), "own": F.coalesce("own", nothing)}
+        {
+            "linked": F.coalesce("linked", F.lit(True)),
+            "hub_n": F.coalesce("hub_n", "n"),
+            "lost": F.coalesce("lost", F.lit(0)),
+            "own": F.coalesce("own", nothing),
+            "bits": F.coalesce("bits", blank),
+        }
     )
-    near = scratch.keep(near.join(near.groupBy("pivot").agg(F.min("n").alias("least_n")), "pivot"))
-    fits = f"comp <> other AND 100 * least(n, other_n) >= {percent} * greatest(n, other_n)"
-
-    def other(df: DataFrame, *columns: str) -> DataFrame:
-        renamed = {"node": "hub", "comp": "other", "n": "other_n"}
-        return df.select(*columns, *[F.col(c).alias(renamed.get(c, f"other_{c}")) for c in ("node", "comp", "n", "lost", "pivot")])
+    near = near.join(near.groupBy("pivot").agg(F.min("n").alias("least_n")), "pivot").join(planes, "node")
+    near = scratch.keep(near.withColumn("differs", F.col("lost") + F.size("own")))
+    fits = f"comp <> other AND 100 * least(n, other_n) >= {percent} * greatest(n, other_n) AND {agreement()} >= {least_agreement(percent)}"
+    # Of one pivot: what the sets share is hub_n - lost - other_lost and what their differences share.
+    more = f"{share} * (n + other_n) - hub_n + lost + other_lost - 1e-6"
+    beyond = " + ".join(f"bit_count(bits[{i}] & ~other_bits[{i}])" for i in range(MAP))
+    beyond_other = " + ".join(f"bit_count(other_bits[{i}] & ~bits[{i}])" for i in range(MAP))
+    bound = f"differs - ({beyond}) >= {more} AND other_differs - ({beyond_other}) >= {more}"
+
+    def other(df: DataFrame, *columns: str, also: tuple[str, ...] = ()) -> DataFrame:
+        renamed = {"node": "hub", "comp": "other"}
+        return df.select(*columns, *[F.col(c).alias(renamed.get(c, f"other_{c}")) for c in ("node", *KNOWN)], *[F.col(c).alias(f"other_{c}") for c in also])
 
     # 1. Two nodes that share elements which their pivot lacks: the rarest of these are enough, so common ones seldom count.
     need = F.expr(f"greatest(1, ceil({share} * (n + least_n) - 1e-6) - (hub_n - lost))")
-    listed = near.select("pivot", "node", "comp", "n", "lost", need.alias("need"), F.size("own").alias("size"), F.explode("own").alias("x"))
+    listed = near.select("pivot", "node", need.alias("need"), F.size("own").alias("size"), F.explode("own").alias("x"))
     held = listed.groupBy("pivot", "x").agg(F.count("*").alias("k"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("k", "x"))
     rare = listed.join(held, ["pivot", "x"]).withColumn("place", place).where("place <= size - need + 1 AND k > 1")
-    rare = scratch.keep(rare.select("pivot", "x", "node", "comp", "n", "lost"))
-    alike = rare.drop("lost").join(other(rare, "x", "pivot").drop("other_lost"), ["pivot", "x"]).where(f"node < hub AND {fits}")
+    rare = scratch.keep(rare.select("pivot", "x", "node").join(near.select("node", "hub_n", *KNOWN), "node"))
+    alike = meet(rare, other(rare, "pivot", "x"), ["pivot", "x"], f"node < hub AND {fits} AND {bound}")
     # 2. Two nodes that share elements of the pivot only. One of them is not linked to it; then the other is smaller than it.
-    close = near.where(f"lost <= hub_n - {share} * (n + least_n) + 1e-6")
-    small = other(close.where("n < hub_n"), "pivot").drop("other_pivot")
-    inside = close.where("NOT linked").join(small, "pivot")
-    inside = inside.where(f"greatest(lost, other_lost) <= hub_n - {share} * (n + other_n) + 1e-6 AND {fits}")
-    # 3. Two nodes in one bucket with different pivots.
-    here = buckets.join(labels, "node").withColumn("lost", F.lit(0))
-    several = here.groupBy("bucket").agg(F.min("pivot").alias("lo"), F.max("pivot").alias("hi")).where("lo <> hi").select("bucket")
-    here = scratch.keep(here.join(several, "bucket"))
-    apart = here.join(other(here, "bucket"), "bucket").where(f"pivot < other_pivot AND {fits}")
-    pairs = alike.select("node", "hub").union(inside.select("node", "hub")).union(apart.select("node", "hub"))
-    ordered = pairs.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).distinct()
-    return relabel(labels, compare(scratch.keep(ordered), sets, percent, scratch), scratch)
+    close = near.where(f"lost <= hub_n - {share} * (n + least_n) + 1e-6").select("pivot", "node", "hub_n", "linked", *KNOWN)
+    both_keep = f"greatest(lost, other_lost) <= hub_n - {share} * (n + other_n) + 1e-6"
+    inside = meet(close.where("NOT linked"), other(close.where("n < hub_n"), "pivot"), ["pivot"], f"{both_keep} AND {fits} AND {bound}")
+    links = compare(scratch.keep(alike.union(inside).distinct()), sets, percent, scratch)
+    labels = relabel(labels, links, scratch)
+    # 3. Nodes of one bucket: first with its node that is closest to a pivot, then those still apart that have different pivots.
+    known = near.drop("comp", "own", "least_n", "linked")
+
+    def apart(here: DataFrame) -> DataFrame:
+        several = here.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+        return scratch.keep(here.join(several, "bucket"))
+
+    here = apart(buckets.join(known.join(labels.select("node", "comp"), "node"), "node"))
+    middle = here.groupBy("bucket").agg(F.min(F.struct("lost", "node")).alias("m")).select("bucket", F.col("m.node").alias("node"))
+    first = meet(here, other(here.join(middle, ["bucket", "node"]), "bucket", also=("pivot",)), ["bucket"], f"pivot <> other_pivot AND {fits}")
+    labels = relabel(labels, compare(scratch.keep(first), sets, percent, scratch), scratch)
+    here = apart(here.drop("comp").join(labels.select("node", "comp"), "node"))
+    rest = meet(here, other(here, "bucket", also=("pivot",)), ["bucket"], f"pivot < other_pivot AND {fits}")
+    return relabel(labels, compare(scratch.keep(rest), sets, percent, scratch), scratch)
