@@ -17,7 +17,7 @@
    similarity leads to, so that a pair of the similarity fails with a probability of some 1e-8. No pair is dropped otherwise.
 
 Nothing is collected; hot buckets, hot elements and hubs are split over tasks. Lookups of sets read a bucketed table, without a
-shuffle. Words are hashed by polynomials modulo a prime under two bases.
+shuffle. Words are hashed by sums of byte values under coefficients without pattern.
 
 Edge cases: null and empty texts have no shingles and are linked with nothing; a text of fewer words than a shingle is one
 shingle. Rows with equal doc_id are judged by their own texts. A null doc_id never is a component's id unless it is alone in it.
@@ -54,29 +54,22 @@ MAP = 16
 #: What is known of a node when two nodes meet.
 KNOWN = ("comp", "n", "lost", "differs", "bits", "planes")
 _CHUNK = 1 << 20
-#: Modulus and bases of the word hash (fixed values).
-PRIME = (1 << 31) - 1
-BASES = (0x2E1B7D35, 0x5A3C9F11)
 
 
-@lru_cache(maxsize=8)
-def prime_powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(1, dtype=np.uint64)
-    while len(out) < n:
-        out = np.concatenate([out, out * np.uint64(pow(base, len(out), PRIME)) % np.uint64(PRIME)])
-    return out[:n]
+@lru_cache(maxsize=4)
+def coefficients(n: int) -> np.ndarray:
+    """An odd number without pattern for each place in a word."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each byte range: its polynomial modulo PRIME under both bases, and its length."""
-    p, out = np.uint64(PRIME), (end - start).astype(np.uint64)
-    size = 1 << max(10, int(len(data)).bit_length())
-    values = byte_values()[data] % p
-    for base in BASES:
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(values * prime_powers(base, size)[: len(data)] % p, out=sums[1:])
-        out = mix(out) + (sums[end] - sums[start]) % p * prime_powers(pow(base, -1, PRIME), size)[start] % p
-    return mix(out)
+    """Hash of each byte range (in order, apart): the sum of its byte values times the coefficients of their places, and its length."""
+    n = len(data)
+    place = np.arange(n) - np.repeat(np.concatenate(([0], start)), np.diff(np.concatenate(([0], start, [n]))))
+    factor = coefficients(1 << max(10, int(n).bit_length()))
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(byte_values()[data] * factor[place], out=sums[1:])
+    return mix(sums[end] - sums[start] + (end - start).astype(np.uint64))
 
 
 def word_hashes(text: str) -> np.ndarray:

@@ -312,6 +312,36 @@ def test_near_duplicates_of_one_hot_group(spark, monkeypatch):
     assert {tuple(r) for r in out.collect()} == want
 
 
+def test_words_of_one_pattern_hash_apart():
+    """A Thue-Morse word and its complement hash alike under any polynomial modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    for size in (64, 1024, 4096):
+        one, two = ("".join(pair[b] for b in bits[:size]) for pair in ("ab", "ba"))
+        a, b, c = near_dedup.word_hashes(f"{one} {two}  {one.upper()}")
+        assert a != b and a == c
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(50_000)]
+    assert len(set(near_dedup.word_hashes(" ".join(words)).tolist())) == len(words)
+
+
+def test_near_copies_apart_from_a_hub_are_bounded(spark, monkeypatch):
+    """Copies of a text that is not there, most pairs of them below the similarity: no link is lost, few pairs are compared."""
+    monkeypatch.setattr(near_dedup, "MEET", 16)
+    draw = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(draw.randint(2, 8)):
+            words[draw.randrange(len(words))] = f"x{draw.randrange(10**6)}"
+        rows.append((i, " ".join(words[: draw.choice([150, 150, 140, 128])])))
+    compared, plain = [], near_dedup.compare
+    monkeypatch.setattr(near_dedup, "compare", lambda pairs, *a, **k: (compared.append(pairs.count()), plain(pairs, *a, **k))[1])
+    out = near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string")).drop("text_hash")
+    want = {(r[0], *v) for r, v in zip(rows, groups_by_force(rows, 4, 80))}
+    assert {tuple(r) for r in out.collect()} == want
+    assert sum(compared[1:]) < len(rows) * 5
+
+
 def test_super_min_hash_estimates_similarity():
     draw = np.random.default_rng(0)
     errors = []
