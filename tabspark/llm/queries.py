@@ -156,8 +156,8 @@ SQL["op7_line_dedup"] = rf"""WITH l AS (SELECT doc_id, x, i, trim(regexp_replace
   SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) q),
 t AS (SELECT *, length(p) - length(replace(p, ' ', '')) + 1 AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l WHERE p <> ''),
 c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS c FROM t),
-w AS (SELECT a.doc_id, a.k, min(b.k) AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + {line_dedup.MIN_WORDS - 1}
-  AND b.c - a.c + a.n >= {line_dedup.MIN_WORDS} GROUP BY ALL),
+w AS (SELECT a.doc_id, a.k, b.k AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + {line_dedup.MIN_WORDS - 1}
+  AND b.c - a.c + a.n >= {line_dedup.MIN_WORDS} AND (b.c - a.c < {line_dedup.MIN_WORDS} OR b.c - b.n - a.c + a.n < {line_dedup.MIN_WORDS})),
 content AS (SELECT w.doc_id, w.k, w.e, string_agg(p, chr(10) ORDER BY t.k) AS s FROM w JOIN t ON w.doc_id = t.doc_id AND t.k BETWEEN w.k AND w.e GROUP BY ALL),
 later AS (SELECT doc_id, k, e FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, k) AS place FROM content) q WHERE place > 1),
 gone AS (SELECT DISTINCT t.doc_id, t.i FROM later JOIN t ON later.doc_id = t.doc_id AND t.k BETWEEN later.k AND later.e),

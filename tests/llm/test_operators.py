@@ -406,20 +406,20 @@ def test_pages_keep_their_columns(spark, small_dir):
 
 # --- 7 -----------------------------------------------------------------------
 def deduped_lines(rows, min_words):
+    """Deletes every run of lines with enough words that also occurs at an earlier place, judging all runs of all lengths."""
     plain = [[" ".join(re.sub(r"[\x09-\x0D\x20]+", " ", x).strip(" ").split(" ")) for x in (t or "").split("\n")] for _, t, *_ in rows]
-    place, first, wins = [], {}, []
+    first, wins = {}, []
     for d, (r, lines) in enumerate(zip(rows, plain)):
         full = [i for i, x in enumerate(lines) if x]
         for k in range(len(full)):
-            n, e = 0, k
-            while e < len(full) and n < min_words:
+            n, content = 0, 0
+            for e in range(k, len(full)):
                 n += len(lines[full[e]].split(" "))
-                e += 1
-            if n >= min_words:
-                content = tuple(lines[i] for i in full[k:e])
-                at = (-1 if r[0] is None else r[0], r[1], k)
-                wins.append((d, content, at, full[k:e]))
-                first[content] = min(first.get(content, at), at)
+                content = hash((content, lines[full[e]]))
+                if n >= min_words:
+                    at = (-1 if r[0] is None else r[0], r[1], k)
+                    wins.append((d, content, at, full[k : e + 1]))
+                    first[content] = min(first.get(content, at), at)
     gone = defaultdict(set)
     for d, content, at, where in wins:
         if at > first[content]:
@@ -439,6 +439,17 @@ def test_lines(docs, min_words):
     assert by_id(out.select("doc_id", "found.*")) == expected(deduped_lines(corpus(), min_words))
 
 
+def test_repeated_runs_go_whole(spark):
+    """Runs end where the texts part, also if what follows the last full window is short, or is shared with a later place only."""
+    long, short, brief = (" ".join(f"{w}{i}" for i in range(n)) for w, n in (("long", 60), ("short", 40), ("brief", 3)))
+    texts = [f"{long}\n{short}", f"{long}\n{short}\nend", f"{long}\n{brief}", f"begin\n{long}\n\n{brief}\n{short}", f"{short}\n{long}", f"{short}\n{long}\n{short}", f"{short}\n{brief}"]
+    rows = list(enumerate(texts))
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.lines.kept for r in out.collect()}
+    assert got == {0: texts[0], 1: "end", 2: brief, 3: f"begin\n\n{short}", 4: short, 5: "", 6: texts[6]}
+    assert [got[i] for i, _ in rows] == [x[2] for x in deduped_lines(rows, 50)]
+
+
 # --- 8 -----------------------------------------------------------------------
 @pytest.mark.parametrize("cell", [16_384, 100])
 def test_neighbours(spark, monkeypatch, cell):
