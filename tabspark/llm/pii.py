@@ -6,8 +6,12 @@ potentials; all nodes with the same or a similar token (same digits, same last s
 hidden node of their own, so the number of edges is linear and any two repeats are two steps apart. Loopy sum-product passing,
 until the messages settle, gives every candidate a distribution over {none, email, ip, card, phone}; a candidate whose best kind
 is at least THRESHOLD sure becomes a span.
-Weights are fitted on a sample of about SAMPLE_DOCS texts, chosen by key hash, with the base spans as labels and without the
-features that define them. Every text is then searched whole.
+Weights are fitted by pseudo-likelihood (each label given the shown labels around it) on a sample of about SAMPLE_DOCS texts,
+chosen by key hash. In each text half of the base spans are hidden at random: they and the free candidates are the examples. What
+a repeat in another form looks like is shown by every base span itself, with its form taken away (bare digits, or an address
+without its domain; forms that the patterns find by themselves are left out): next to the shown span it has the span's kind,
+and alone it has none. Same or similar candidates share one potential, so that many repeats do not outvote the span they repeat.
+Free candidates that share a token with a base span have no known label and are no examples. Every text is then searched whole.
 
 Edge cases: a null or empty text has no spans. Without anything to learn from, no spans are added. Spans are code points, end
 exclusive. Repeated rows get equal results; all other columns pass unchanged.
@@ -17,7 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -30,6 +36,8 @@ LABELS = len(KINDS) + 1  # 0 is none
 SAMPLE_DOCS = 4_000
 THRESHOLD = 0.9
 SETTLED = 1e-4
+SMALLEST_STEP = 1e-3
+STEPS, PENALTY = 3_000, 1e-4  # of the fit
 ROUNDS = 100  # rounds after which the step of the messages is halved, so that they settle on loops too
 NEAR = 40
 
@@ -172,10 +180,10 @@ def propagate(unary: np.ndarray, pairs: np.ndarray, weights: np.ndarray) -> np.n
             into = np.exp(into - into.max(axis=1, keepdims=True))
             new = np.log(into.sum(axis=1, keepdims=True) + gain * into)
             new -= new.max(axis=1, keepdims=True)
-            moved = step * np.abs(new - message).max()
+            moved = np.abs(new - message).max()
             message = (1 - step) * message + step * new
             rounds += 1
-            if moved < SETTLED / 2:
+            if moved < SETTLED or step < SMALLEST_STEP:
                 break
             if rounds % ROUNDS == 0:
                 step /= 2
@@ -197,11 +205,16 @@ class SkipChain:
         if not any(x[2] < 0 for x in found):
             return base, []
         unary = np.full((len(found), LABELS), -50.0)
+        free: dict[str, list[int]] = {}
         for i, (a, b, label) in enumerate(found):
             if label < 0:
                 unary[i] = self.table[features(text, a, b)].sum(axis=0)
+                free.setdefault(keys(text, a, b)[-1], []).append(i)
             else:
                 unary[i, label] = 0.0
+        # Same or similar tokens share one potential: what speaks against a number counts once, however often it stands there.
+        for group in free.values():
+            unary[group] = unary[group].mean(axis=0) / len(group)
         chain, groups = edges(text, found)
         star = [(i, len(found) + k) for k, group in enumerate(groups) for i in group]
         unary = np.concatenate([unary, np.zeros((len(groups), LABELS))])
@@ -211,50 +224,89 @@ class SkipChain:
         return base, [(int(best[i]) - 1, a, b) for i, (a, b, label) in enumerate(found) if label < 0 and best[i] > 0 and marginal[i, best[i]] >= THRESHOLD]
 
 
+def bare_forms(kind: int, token: str) -> list[str]:
+    """The token as it may be repeated elsewhere: without separators, without the domain's ending, without the country's digits."""
+    if kind == 0:
+        return [token.partition("@")[0] + "@" + _WORD_AT.match(token, token.index("@") + 1).group()]
+    digits = _NOT_DIGIT.sub("", token)
+    return sorted({digits, digits[-10:], digits[-7:]}) if kind == 3 else [digits]
+
+
+def examples(text: str | None):
+    """(features, shown labels of the chain, shown labels of the groups, label) of the nodes of a text whose label is known."""
+    _, found = nodes(text)
+    if not found:
+        return
+    chain, groups = edges(text, found)
+    hide = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass"))).random(len(found)) < 0.5
+    shown = [0 if label < 0 or hidden else label for (_, _, label), hidden in zip(found, hide)]
+    beside: dict[int, list[int]] = {}
+    for i, j in chain:
+        beside.setdefault(i, []).append(shown[j])
+        beside.setdefault(j, []).append(shown[i])
+    alike: dict[int, list[int]] = {}
+    unknown = set()
+    for group in groups:
+        labels = Counter(shown[i] for i in group)
+        held = any(found[i][2] > 0 for i in group)
+        for i in group:
+            alike.setdefault(i, []).extend(k for k in labels if k > 0 and labels[k] > (shown[i] == k))
+            if held and found[i][2] < 0:
+                unknown.add(i)
+    for i, (a, b, label) in enumerate(found):
+        if i not in unknown and not shown[i]:
+            yield features(text, a, b), sorted(k for k in beside.get(i, ()) if k), sorted(alike.get(i, ())), max(label, 0)
+        if label > 0:
+            for form in bare_forms(label - 1, text[a:b]):
+                if not base_spans(form):
+                    seen = features(f" {form} ", 1, 1 + len(form))
+                    yield seen, [], [label], label
+                    yield seen, [], [], 0
+
+
+def fit_weights(rows: list[tuple[str, str, str, int, int]]) -> SkipChain:
+    """Weights of largest pseudo-likelihood with a small penalty; both edge weights are at least 0. Lists are comma-joined."""
+    if not rows:
+        return SkipChain(np.zeros((FEATURES, LABELS)) + np.array([1.0, 0, 0, 0, 0]) * 50, 0.0, 0.0)
+    rows = sorted(rows)
+    x, near = np.zeros((len(rows), FEATURES)), np.zeros((2, len(rows), LABELS))
+    for i, (at, *around, _, _) in enumerate(rows):
+        x[i, [int(j) for j in at.split(",")]] = 1
+        for part, listed in zip(near, around):
+            for k in filter(None, listed.split(",")):
+                part[i, int(k)] += 1
+    y, n = np.eye(LABELS)[[r[3] for r in rows]], np.array([r[4] for r in rows], dtype=float)
+    n /= n.sum()
+    w, e = np.zeros((FEATURES, LABELS)), np.zeros(2)
+    ahead_w, ahead_e, pace = w, e, 1.0
+    rate = 2 / (n @ ((x**2).sum(axis=1) + (near**2).sum(axis=(0, 2))))
+    for _ in range(STEPS):
+        p = x @ ahead_w + np.tensordot(ahead_e, near, 1)
+        p = np.exp(p - p.max(axis=1, keepdims=True))
+        slope = (p / p.sum(axis=1, keepdims=True) - y) * n[:, None]
+        new_w = ahead_w - rate * (x.T @ slope + PENALTY * ahead_w)
+        new_e = np.maximum(ahead_e - rate * ((near * slope).sum(axis=(1, 2)) + PENALTY * ahead_e), 0)
+        faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        ahead_w, ahead_e = new_w + (pace - 1) / faster * (new_w - w), new_e + (pace - 1) / faster * (new_e - e)
+        w, e, pace = new_w, new_e, faster
+    return SkipChain(w, float(e[0]), float(e[1]))
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> SkipChain:
-    """Weights from a sample of about SAMPLE_DOCS texts; the features are made by the tasks, the driver gets counts of them."""
+    """Weights from a sample of about SAMPLE_DOCS texts; the examples are made by the tasks, the driver gets counts of them."""
     total = docs.count()
     cut = int(min(1.0, SAMPLE_DOCS / max(total, 1)) * (1 << 30))
 
     def seen(batches):
         for frame in batches:
-            rows: dict[tuple, int] = {}
+            rows = Counter()
             for value in frame["t"]:
-                _, found = nodes(value)
-                for a, b, label in found:
-                    k = ("node", max(label, 0), ",".join(map(str, features(value, a, b))))
-                    rows[k] = rows.get(k, 0) + 1
-                chain, groups = edges(value, found)
-                skip = {(i, j) for group in groups for i, j in zip(group, group[1:])}
-                for name, part in (("chain", chain), ("skip", skip)):
-                    for i, j in part:
-                        k = (name, int(max(found[i][2], 0) == max(found[j][2], 0)), "")
-                        rows[k] = rows.get(k, 0) + 1
-            yield pd.DataFrame([(*k, n) for k, n in rows.items()], columns=["what", "label", "at", "n"])
+                rows.update((*(",".join(map(str, part)) for part in parts), label) for *parts, label in examples(value))
+            yield pd.DataFrame([(*k, n) for k, n in rows.items()], columns=["at", "chain", "alike", "label", "n"])
 
     sample = docs.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) < cut).select(F.col(text).alias("t"))
-    rows = sample.mapInPandas(seen, "what string, label int, at string, n long").groupBy("what", "label", "at").agg(F.sum("n").alias("n")).collect()
-    nodes_ = [r for r in rows if r.what == "node"]
-    if not nodes_:
-        return SkipChain(np.zeros((FEATURES, LABELS)) + np.array([1.0, 0, 0, 0, 0]) * 50, 0.0, 0.0)
-    nodes_.sort(key=lambda r: (r.label, r["at"]))
-    x = np.zeros((len(nodes_), FEATURES))
-    for i, r in enumerate(nodes_):
-        x[i, [int(j) for j in r["at"].split(",")]] = 1
-    y, n = np.eye(LABELS)[[r.label for r in nodes_]], np.array([r.n for r in nodes_], dtype=float)
-    n /= n.sum()
-    w = np.zeros((FEATURES, LABELS))
-    for step in range(400):
-        p = x @ w
-        p = np.exp(p - p.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        w -= 2.0 * (x.T @ ((p - y) * n[:, None]) + 1e-4 * w)
-
-    def agreement(name: str) -> float:
-        same, other = (sum(r.n for r in rows if r.what == name and r.label == k) for k in (1, 0))
-        return float(np.clip(np.log((same + 1) / (other + 1)), 0.0, 4.0))
-
-    return SkipChain(w, agreement("chain") / 2, agreement("skip"))
+    rows = sample.mapInPandas(seen, "at string, chain string, alike string, label int, n long").groupBy("at", "chain", "alike", "label").agg(F.sum("n").alias("n"))
+    return fit_weights([tuple(r) for r in rows.collect()])
 
 
 def _listed(spans: list[tuple[int, int, int]]) -> str:

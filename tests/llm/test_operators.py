@@ -111,7 +111,9 @@ def test_skip_edges_join_distant_repeats(spark):
     rows = [(i, f"{good} " + "word " * 40 + "again 15551234567 please") for i in range(40)] + [(99, None), (100, ""), (101, "id 15559999999")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = pii.fit(docs)
-    assert model.skip > 0 or model.table.shape == (pii.FEATURES, pii.LABELS)
+    for fitted in (model.spans(rows[0][1]), model.spans("+1 (555) 123-4567 " + "word " * 40 + "15551234567, " + "word " * 40 + "15551234567")):
+        assert fitted[1] and {k for k, _, _ in fitted[1]} == {3}
+    assert model.skip > 1 and model.spans("id 15559999999") == ([], [])
     strong = pii.SkipChain(np.zeros((pii.FEATURES, pii.LABELS)), 0.0, 4.0)
     base, added = strong.spans(rows[0][1])
     assert base == [(3, 5, 22)] and [rows[0][1][a:b] for _, a, b in added] == ["15551234567"] and added[0][0] == 3
@@ -121,6 +123,25 @@ def test_skip_edges_join_distant_repeats(spark):
     assert out[0].base_sha256 == sha("phone:5:22") and out[99].base_sha256 == out[100].base_sha256 == sha("") and out[99].spans == ""
 
 
+def test_fitted_field_adds_planted_repeats(spark, small_dir):
+    """Weights learnt from the given documents: repeats of a span in another form are found, numbers alone and other repeats are not."""
+    model = pii.fit(queries.table(spark, small_dir, "documents"))
+    gap = " word" * 30 + " "
+    for kind, base, again in (
+        (3, "+44 20 7946 0958", ["442079460958", "442079460958"]),
+        (3, "+44 20 7946 0958", ["442079460958"] * 100),
+        (3, "+1 (555) 123-4567", ["555-123-4567", "(555) 123-4567", "15551234567"]),
+        (1, "97.51.17.173", ["975117173"]),
+        (0, "jan.novak@mail7.example.com", ["jan.novak@mail7", "Jan.Novak@mail7"]),
+    ):
+        text = base + gap + gap.join(again) + gap
+        found, added = model.spans(text)
+        assert [(k, text[a:b]) for k, a, b in found] == [(kind, base)]
+        assert sorted((k, text[a:b]) for k, a, b in added) == sorted((kind, x) for x in again), base
+        assert model.spans(gap + gap.join(again) + gap) == ([], [])
+    assert model.spans("call +44 20 7946 0958" + gap + "441234567890" + gap + "4556737586899850")[1] == []
+
+
 @pytest.mark.parametrize("repeats", [1, 3, 100])
 def test_every_repeat_of_a_base_span_is_added(repeats):
     text = "call +1 (555) 123-4567 now" + (" word" * 20 + " again 15551234567 please") * repeats
