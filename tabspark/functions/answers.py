@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabspark.spec import INVALID_LABEL
 
+BEGIN, INSIDE = "<", "="  # no normalized text holds these
 SPAN = "array<struct<start:int,end:int,label:string>>"
 
 
@@ -29,20 +30,26 @@ def _inside(short: list[str], long: list[str]) -> bool:
     return any(long[i : i + len(short)] == short for i in range(len(long) - len(short) + 1))
 
 
-def _spans_of(text: Column, label: str) -> Column:
-    """Non-overlapping whole-word matches of one label, as character spans of the normalized text."""
+def _marked(text: Column, label: str) -> Column:
+    """The characters of the normalized text, those of whole-word matches of the label replaced by BEGIN and INSIDE; [] without any."""
     phrase = " ".join(label_words(label))
-    # The pieces between the matches give the positions: one step per match, however long the text is.
-    pieces = F.split(text, f"(?<![a-z0-9]){phrase}(?![a-z0-9])")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
+    marks = F.regexp_replace(text, f"(?<![a-z0-9]){phrase}(?![a-z0-9])", BEGIN + INSIDE * (len(phrase) - 1))
+    return F.when(text.contains(phrase), F.split(marks, "")).otherwise(F.array().cast("array<string>"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        begin = acc["at"] + F.length(piece)
-        end = begin + F.lit(len(phrase))
-        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(label).alias("label"))
-        return F.struct(end.alias("at"), F.array_append(acc["found"], span).alias("found"))
 
-    return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step, lambda acc: acc["found"])
+def _spans(marked: Column, label: str, around: list[Column]) -> Column:
+    """The label's matches as character spans, without those that lie inside a match of another label (by its marked text)."""
+    length = len(" ".join(label_words(label)))
+
+    def covered(at: Column, other: Column) -> Column:
+        # Two matches never touch: between them stands at least a blank. So marks without a gap are one match.
+        part = F.slice(other, at + 1, F.lit(length))
+        return (F.size(part) == length) & F.forall(part, lambda x: x.isin(BEGIN, INSIDE))
+
+    at = F.filter(F.sequence(F.lit(0), F.size(marked)), lambda i: F.get(marked, i) == BEGIN)
+    if around:
+        at = F.filter(at, lambda i: ~reduce(Column.__or__, [covered(i, other) for other in around]))
+    return F.transform(at, lambda i: F.struct(i.alias("start"), (i + length).alias("end"), F.lit(label).alias("label")))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -50,29 +57,23 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _add_outside(accepted: Column, spans: Column) -> Column:
-    """Accepted spans plus those of the new ones that lie inside none of them."""
-
-    def contained(span: Column, taken: Column) -> Column:
-        return F.exists(taken, lambda t: (span["start"] >= t["start"]) & (span["end"] <= t["end"]))
-
-    return _let(accepted, lambda taken: F.concat(taken, F.filter(spans, lambda span: ~contained(span, taken))))
-
-
 def label_mentions(col: Column, labels: Sequence[str]) -> Column:
-    """All mentions sorted by start; a shorter label inside a longer label's mention does not count."""
+    """All mentions sorted by start; a shorter label inside a longer label's mention does not count.
+
+    One pass over the text for each label that occurs in it, however many mentions there are.
+    """
     ordered = sorted(labels, key=len, reverse=True)
 
-    def find(text: Column) -> Column:
-        accepted = F.array().cast(SPAN)
+    def find(text: Column, *marked: Column) -> Column:
+        if len(marked) < len(ordered):
+            return _let(_marked(text, ordered[len(marked)]), lambda chars: find(text, *marked, chars))
+        spans = []
         for k, label in enumerate(ordered):
-            phrase = " ".join(label_words(label))
-            spans = F.when(text.contains(phrase), _spans_of(text, label)).otherwise(F.array().cast(SPAN))
-            nested = any(_inside(label_words(label), label_words(longer)) for longer in ordered[:k])
-            accepted = _add_outside(accepted, spans) if nested else F.concat(accepted, spans)
-        return F.array_sort(accepted)
+            around = [marked[j] for j in range(k) if _inside(label_words(label), label_words(ordered[j]))]
+            spans.append(_spans(marked[k], label, around))
+        return F.array_sort(F.concat(*spans) if spans else F.array().cast(SPAN))
 
-    return _let(normalize_text(col), find)
+    return _let(normalize_text(col), lambda text: find(text))
 
 
 def parse_answer(col: Column, labels: Sequence[str]) -> Column:

@@ -160,6 +160,15 @@ def test_mentions_equal_brute_force(spark):
             assert r["s"] == ("parsed" if n == 1 else "non_relevant" if n == 0 else "ambiguous")
 
 
+def test_many_mentions_in_one_text(spark):
+    """100,000 mentions: what each of them costs does not grow with their number."""
+    labels, text = ["heart", "disease", "heart disease"], " ".join(["heart disease, heart"] * 50_000)
+    df = spark.createDataFrame([(text,)], "t string").select(A.label_mentions(F.col("t"), labels).alias("m"))
+    found = df.select(F.size("m").alias("n"), F.element_at("m", -1).alias("last"), F.array_distinct(F.transform("m", lambda m: m["label"])).alias("labels")).first()
+    size = len("heart disease heart ") * 50_000 - 1
+    assert found.n == 100_000 and tuple(found["last"]) == (size - 5, size, "heart") and sorted(found.labels) == ["heart", "heart disease"]
+
+
 def test_empty_label_is_refused():
     with pytest.raises(ValueError):
         A.label_words("?!")
