@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tabspark import spec
 from tabspark.functions.text import quoted
-from tabspark.staging import RANGE_ROWS, staged
+from tabspark.staging import RANGE_ROWS, in_ranges, staged
 
 HASH_DIGITS = 32
 #: Leading hash digits of the counting passes: the last one counts whole hashes.
@@ -79,6 +79,20 @@ def _many(sizes: DataFrame) -> int:
     return sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def _sum_before(df: DataFrame, value: Column, *order: Column) -> DataFrame:
+    """All columns, and `offset`: the sum over the rows before in the order. No task orders more than RANGE_ROWS rows."""
+    if df.count() <= RANGE_ROWS:
+        before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn("offset", F.coalesce(F.sum(value).over(before), F.lit(0)))
+    ranged = in_ranges(df, *order, rows=RANGE_ROWS)
+    inside = Window.partitionBy("__r").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range goes through this window.
+    ranges = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    lower = ranged.groupBy("__r").agg(F.sum(value).alias("__n")).select("__r", F.coalesce(F.sum("__n").over(ranges), F.lit(0)).alias("__lower"))
+    placed = ranged.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(lower, "__r")
+    return placed.select(*df.columns, (F.col("__lower") + F.col("__inside")).alias("offset"))
+
+
 def test_sizes(sizes: DataFrame, frac: float, total: int | None = None) -> DataFrame:
     """(c, part, need): units per class in the test part, ceil(frac * n) in all, shared out by largest remainder."""
     total = _many(sizes) if total is None else total
@@ -86,15 +100,13 @@ def test_sizes(sizes: DataFrame, frac: float, total: int | None = None) -> DataF
     exact = sizes.withColumn("exact", F.try_divide(F.col("n").cast("double"), F.lit(total)) * wanted)
     exact = exact.withColumn("base", F.floor("exact"))
     rest = wanted - (exact.agg(F.sum("base")).first()[0] or 0)
-    more = exact.orderBy(F.col("base") - F.col("exact"), F.asc_nulls_first("stratum")).limit(rest).select("c", F.lit(1).alias("more"))
-    return exact.join(more, "c", "left").select("c", F.lit(0).alias("part"), (F.col("base") + F.coalesce("more", F.lit(0))).alias("need"))
+    placed = _sum_before(exact, F.lit(1), F.col("base") - F.col("exact"), F.asc_nulls_first("stratum"))
+    return placed.select("c", F.lit(0).alias("part"), (F.col("base") + (F.col("offset") < rest).cast("int")).alias("need"))
 
 
 def fold_sizes(sizes: DataFrame, k: int) -> DataFrame:
     """(c, part, need): units per class up to each fold but the last; classes are laid end to end in order and dealt out in turn."""
-    before = Window.orderBy(F.asc_nulls_first("stratum")).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per class goes through the window.
-    placed = sizes.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    placed = _sum_before(sizes, F.col("n"), F.asc_nulls_first("stratum"))
     fold = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("part")
     dealt = placed.select("c", "n", "offset", fold).withColumn("skip", F.pmod(F.col("part") - F.col("offset"), F.lit(k)))
     own = F.greatest(F.floor((F.col("n") - F.col("skip") + (k - 1)) / k), F.lit(0))

@@ -114,6 +114,26 @@ def test_folds(spark, n, k):
     assert {(r["y"], r["fold"]): r["count"] for r in found} == want
 
 
+@pytest.mark.parametrize("rows", [7, 1000])
+def test_many_classes_are_ordered_in_ranges(spark, monkeypatch, rows):
+    """Classes of unlike size, one without a name: sizes of parts equal those counted one class after the other."""
+    sizes = [(None if y == 5 else y, f"c{y}", 1 + y * y % 11) for y in range(60)]
+    df = spark.createDataFrame(sizes, "stratum int, c string, n long")
+    total, order = sum(n for *_, n in sizes), sorted(sizes, key=lambda x: (x[0] is not None, x[0] or 0))
+    monkeypatch.setattr(S, "RANGE_ROWS", rows)
+    want, offset = {}, 0
+    for _, c, n in order:
+        folds = [(offset + i) % 4 for i in range(n)]
+        want |= {(c, k): sum(f <= k for f in folds) for k in range(3)}
+        offset += n
+    assert {(r["c"], r["part"]): r["need"] for r in S.fold_sizes(df, 4).collect()} == want
+    wanted = math.ceil(0.3 * total)
+    shares = {c: n / total * wanted for _, c, n in order}
+    extra = sorted(order, key=lambda x: (math.floor(shares[x[1]]) - shares[x[1]], x[0] is not None, x[0] or 0))[: wanted - sum(map(math.floor, shares.values()))]
+    want = {c: math.floor(shares[c]) + any(c == x[1] for x in extra) for _, c, _ in order}
+    assert {r["c"]: r["need"] for r in S.test_sizes(df, 0.3).collect()} == want and sum(want.values()) == wanted
+
+
 def test_rows_decide_for_themselves(spark):
     """The finished split has no shuffle, join or window."""
     plan = S.stratified_split(keyed(spark, 1000), "id", "y")._jdf.queryExecution().executedPlan().toString()
