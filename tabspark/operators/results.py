@@ -22,7 +22,7 @@ def upsert(base: DataFrame, new: DataFrame, keys: Sequence[str] = spec.RESULT_KE
     return base.join(fresh, same, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def keep_last(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+def keep_last(df: DataFrame, keys: Sequence[str], order: str | Column) -> DataFrame:
     """Last row per key by the order column, as one aggregation."""
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__row")).select(*keys, "__row.*")

@@ -76,15 +76,18 @@ def write_responses(
 
 
 def append_run_log(df: DataFrame, path: str) -> None:
-    """Append finished runs with the time of writing, so that they survive an interruption of later ones."""
-    df.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(path)
+    """Append finished runs with the time of writing and their order in this call, so that they survive an interruption of later ones."""
+    logged = {"logged_at": F.current_timestamp(), "logged_row": F.monotonically_increasing_id()}
+    df.withColumns(logged).write.mode("append").parquet(path)
 
 
 def read_run_log(spark: SparkSession, path: str, keys: Sequence[str] = spec.RESULT_KEY) -> DataFrame:
-    """Latest row per run key."""
+    """Latest row per run key: of the last call, and of rows of one call the last. Logs without that order are read, too."""
     from tabspark.operators.results import keep_last
 
-    return keep_last(spark.read.parquet(path), keys, "logged_at")
+    log = spark.read.option("mergeSchema", True).parquet(path)
+    row = F.coalesce("logged_row", F.lit(-1)) if "logged_row" in log.columns else F.lit(-1)
+    return keep_last(log, keys, F.struct("logged_at", row)).drop("logged_row")
 
 
 def write_results(df: DataFrame, path: str, order: Sequence[str] = spec.RESULT_KEY, fmt: str = "csv") -> None:
