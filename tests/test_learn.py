@@ -135,3 +135,24 @@ def test_the_run_loop_goes_on_where_it_stopped(spark, tmp_path):
     out = run_answers(spark, grid, make, spec.DATASETS, f"{tmp_path}/runs").collect()
     assert made == ["m0", "m1", "m2"] and sorted(r["model"] for r in out) == made
     assert all(r["n_examples"] == 2 and r["test_accuracy"] == 0.5 for r in out)
+
+
+def test_hashed_rows_of_one_file_go_to_several_tasks(spark, monkeypatch):
+    from tabspark.operators import learn
+
+    given = []
+
+    class Stop(Exception):
+        pass
+
+    class Trees:
+        def fit(self, rows):
+            given.append((rows.rdd.getNumPartitions(), rows.count()))
+            raise Stop
+
+    monkeypatch.setattr(learn, "boosted_trees", lambda *a, **k: Trees())
+    monkeypatch.setattr(learn, "HASHED_CELLS", 16 * 100, raising=False)
+    df = spark.range(1000).selectExpr("double(id) AS a", "int(id % 2) AS target").coalesce(1)
+    with pytest.raises(Stop):
+        learn.HashedTrees(["a"], "target", width=16).fit(df)
+    assert given == [(10, 1000)]
