@@ -156,3 +156,24 @@ def test_hashed_rows_of_one_file_go_to_several_tasks(spark, monkeypatch):
     with pytest.raises(Stop):
         learn.HashedTrees(["a"], "target", width=16).fit(df)
     assert given == [(10, 1000)]
+
+
+def test_hashed_trees_grow_on_the_places_that_differ(spark, monkeypatch):
+    """No pass for each level of each tree over all hashed numbers; one table in one task or in several."""
+    from tabspark.operators import boost
+
+    table = separable(spark).withColumn("kind", F.when(F.col("target") == 1, "x")).drop("id", "split")
+    probs = []
+    for rows in (boost.RANGE_ROWS, 100):
+        monkeypatch.setattr(boost, "RANGE_ROWS", rows)
+        model = HashedTrees(["a", "b", "kind"], "target", width=64, maxIter=3).fit(table)
+        scored = model.score(table.withColumn("prob", F.lit(9.0)))
+        assert set(scored.columns) == {"a", "b", "kind", "target", "prob"}
+        assert bool(model.model.trees.together) == (rows == 100) and len(model.model.places) == 3
+        probs.append(scored.groupBy("target").agg(F.min("prob").alias("low"), F.max("prob").alias("high")).orderBy("target").collect())
+    assert all(p[0]["high"] < 0.5 < p[1]["low"] for p in probs)
+
+
+def test_hashed_trees_without_any_difference(spark):
+    df = spark.range(50).select(F.lit(None).cast("string").alias("a"), (F.col("id") % 2).cast("int").alias("target"))
+    assert [r["prob"] for r in HashedTrees(["a"], "target", width=8, maxIter=2).fit(df).score(df).select("prob").distinct().collect()] == [0.5]
